@@ -163,7 +163,7 @@ def distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: int = 256, negatives: int = 20_000, seed: str = "toxicity") -> ToxicityModel | None:
     """Fit on about per_class labelled texts of each class at most.
 
-    The words of the toxic class are those that occur in texts of it in at least 8 different surroundings and 25 times
+    The words of the toxic class are those that occur in texts of it in at least 8 different surroundings (3 in small samples) and 25 times
     as often as among the others; the surroundings of copies are one, by the smallest word hash of a text. The machine
     learns them against words of the other class, then again with those that it took for toxic; a logistic curve over a
     text's largest values gives the score. None if a class is missing. To the driver come counted words, at most
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
     if len(totals) < 2:
         return None
     ratio = totals[0] / totals[1]
-    enough = min(8, max(1, totals[1] // 20))
+    enough = min(8, max(3, totals[1] // 20))
     marked = F.col("bad") * ratio >= 25 * F.greatest(F.col("good"), F.lit(0.3))
     positive = [r["word"] for r in counted.where((F.col("bad") >= enough) & marked).orderBy(F.desc("bad"), "word").limit(1000).collect()]
     negative = [r["word"] for r in counted.where("good > 0").where(~marked).orderBy(F.xxhash64("word"), "word").limit(negatives).collect()]
