@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import fertility, langid, lsh_forest, mixing, packing, sharding, toxicity
+from strataflow.llm import fertility, ivfpq, langid, lsh_forest, mixing, packing, sharding, toxicity
 from strataflow.llm.common import remainder
 
 
@@ -61,9 +61,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_vector_packing, op3_poisson_mix, op4_toxicity, op5_fertility, op7_langid, op9_lsh_forest)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_vector_packing, op3_poisson_mix, op4_toxicity, op5_fertility, op7_langid, op8_ivfpq, op9_lsh_forest)}
 ORACLES = {"op3_poisson_mix": OP3_SQL}
