@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import fertility, ivfpq, langid, lsh_forest, mixing, packing, sharding, toxicity
+from strataflow.llm import fertility, ivfpq, langid, lsh_forest, mixing, packing, quotes, sharding, toxicity
 from strataflow.llm.common import remainder
 
 
@@ -69,5 +69,9 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_vector_packing, op3_poisson_mix, op4_toxicity, op5_fertility, op7_langid, op8_ivfpq, op9_lsh_forest)}
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_vector_packing, op3_poisson_mix, op4_toxicity, op5_fertility, op7_langid, op8_ivfpq, op9_lsh_forest, op10_quotation_linking)}
 ORACLES = {"op3_poisson_mix": OP3_SQL}
