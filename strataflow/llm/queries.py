@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import fertility, ivfpq, langid, lsh_forest, mixing, packing, quotes, sharding, toxicity
+from strataflow.llm import fertility, ivfpq, langid, lsh_forest, mixing, ngram_lm, packing, quotes, sharding, toxicity
 from strataflow.llm.common import remainder
 
 
@@ -55,6 +55,12 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    levels = ngram_lm.train(docs.where(~held))
+    return ngram_lm.score(docs, levels).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(levels.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 1
     model = langid.fit(docs.where(~held))
@@ -73,5 +79,5 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_vector_packing, op3_poisson_mix, op4_toxicity, op5_fertility, op7_langid, op8_ivfpq, op9_lsh_forest, op10_quotation_linking)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_vector_packing, op3_poisson_mix, op4_toxicity, op5_fertility, op6_elias_fano_lm, op7_langid, op8_ivfpq, op9_lsh_forest, op10_quotation_linking)}
 ORACLES = {"op3_poisson_mix": OP3_SQL}
