@@ -171,3 +171,19 @@ def fertility(docs: DataFrame, model: str, rules: Rules = Rules()) -> DataFrame:
         yield from measure_batches(batches, model, rules)
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, OUT_DDL)
+
+
+def keep(docs: DataFrame, model: str, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs that `fertility` keeps, in all their columns and in one pass: a row's verdict is its own text's."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        gc.disable()
+        for batch in batches:
+            text = batch.column(at)
+            ids = pa.array(range(batch.num_rows), pa.int64())
+            for verdicts in measure_batches([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "text"])], model, rules):
+                yield batch.filter(verdicts.column(OUT.get_field_index("kept")))
+
+    return docs.mapInArrow(run, docs.schema)

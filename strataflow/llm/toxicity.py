@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -206,7 +207,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
     return ToxicityModel(machine, theta)
 
 
-_CACHES: dict[int, WordCache] = {}
+_CACHES: dict[str, WordCache] = {}
+
+
+def scorer(docs: DataFrame, model: ToxicityModel | None):
+    """A function from texts to scores, for tasks; a worker's tasks share the cache of a model's words."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 weights
+    key = uuid.uuid4().hex
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        gc.disable()  # large caches without cycles
+        if (m := shared.value) is None or not texts:
+            return np.zeros(len(texts))
+        if key not in _CACHES:
+            _CACHES.clear()  # one model's words at a time
+            _CACHES[key] = word_cache(m.machine)
+        return m.score(text_features(texts, _CACHES[key]))
+
+    return scores
 
 
 def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
@@ -215,19 +234,21 @@ def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     Null or empty text: the score of a text without words. No model: 0. Null doc_id: kept. Repeated rows: a row each.
     Empty table: no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 weights
-    key = id(shared)
+    scores = scorer(docs, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # large caches without cycles
-        m = shared.value
-        if m is not None and key not in _CACHES:
-            _CACHES.clear()  # one model's words at a time
-            _CACHES[key] = word_cache(m.machine)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            scores = m.score(text_features(texts, _CACHES[key])) if m is not None and texts else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, score double")
+
+
+def keep(docs: DataFrame, model: ToxicityModel | None, below: float) -> DataFrame:
+    """The rows of docs with a score under `below`, in all their columns and in one pass."""
+    scores, at = scorer(docs, model), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(at).to_pylist()) < below))
+
+    return docs.mapInArrow(run, docs.schema)
