@@ -7,11 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import uniform
+from strataflow.llm.common import cut, uniform
 
 #: Stands for a null source in joins; no source of this name is expected.
 NO_SOURCE = "\x00null"
 
+#: Up to so many sources' rates are broadcast; beyond, the join is dealt over salts, so that no source is one task.
+BROADCAST_SOURCES, SALTS = 10_000, 64
+
 
 def poisson_cdf(rate: Column) -> Column:
     """P(X <= k) for k = 0, 1, ... as an array, long enough that the rest can't be told from 1 in a double.
@@ -63,7 +66,13 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, siz
     rates = source_rates(docs, weights, size, measure).withColumn("_cdf", poisson_cdf(F.col("rate")))
     named = docs.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE)))
     below = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    counted = named.join(rates, "_source").withColumn("_u", uniform(seed, F.col("doc_id"))).withColumn("copies", F.least(below, F.size("_cdf") - 1)).drop("_cdf", "_u", "_source")
+    rates = cut(rates)
+    if rates.count() <= BROADCAST_SOURCES:  # half a kB each
+        joined = named.join(F.broadcast(rates), "_source")
+    else:
+        dealt = named.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_source", "_salt"]).drop("_salt")
+    counted = joined.withColumn("_u", uniform(seed, F.col("doc_id"))).withColumn("copies", F.least(below, F.size("_cdf") - 1)).drop("_cdf", "_u", "_source")
     copied = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     keyed = copied.withColumn("shuffle_key", uniform(seed + "/order", F.col("doc_id"), F.col("copy")))
     order = ["shuffle_key", "doc_id", "copy"]
