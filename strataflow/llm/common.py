@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +68,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What the tasks of a Python worker share under key. A worker holds one thing at a time: Spark reuses workers, and
+    the caches of a job's earlier stages would add up in them."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+@contextmanager
+def paused_gc() -> Iterator[None]:
+    """No passes of the collector over large caches without cycles, which would take a third of the time; what a task
+    leaves in cycles is collected when the next one isn't paused."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

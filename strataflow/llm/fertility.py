@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 from array import array
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
-from functools import lru_cache
 from math import inf
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strataflow.llm.common import SPACE_BYTES, WordCache, WordHasher, chunked, small_batches, text_bytes
+from strataflow.llm.common import SPACE_BYTES, WordCache, WordHasher, chunked, held, paused_gc, small_batches, text_bytes
 
 #: The symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -133,10 +131,9 @@ def measure(text: str | None, raw: bytes, words: list[bytes], hashes: np.ndarray
     return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, script, n_tokens, cpt, fallback, entropy, kept
 
 
-@lru_cache(maxsize=2)
 def word_pieces(model: str) -> WordPieces:
     """One cache for all tasks of a Python worker."""
-    return WordPieces(model)
+    return held(("fertility", model), lambda: WordPieces(model))
 
 
 def measure_batches(batches: Iterable[pa.RecordBatch], model: str, rules: Rules) -> Iterator[pa.RecordBatch]:
@@ -167,8 +164,8 @@ def fertility(docs: DataFrame, model: str, rules: Rules = Rules()) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        gc.disable()  # large caches without cycles: its passes would take a third of the time
-        yield from measure_batches(batches, model, rules)
+        with paused_gc():
+            yield from measure_batches(batches, model, rules)
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, OUT_DDL)
 
@@ -179,11 +176,11 @@ def keep(docs: DataFrame, model: str, rules: Rules = Rules()) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        gc.disable()
-        for batch in batches:
-            text = batch.column(at)
-            ids = pa.array(range(batch.num_rows), pa.int64())
-            for verdicts in measure_batches([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "text"])], model, rules):
-                yield batch.filter(verdicts.column(OUT.get_field_index("kept")))
+        with paused_gc():
+            for batch in batches:
+                text = batch.column(at)
+                ids = pa.array(range(batch.num_rows), pa.int64())
+                for verdicts in measure_batches([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "text"])], model, rules):
+                    yield batch.filter(verdicts.column(OUT.get_field_index("kept")))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import os
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from strataflow.llm.common import WordCache, chunked, small_batches, text_bytes
+from strataflow.llm.common import WordCache, chunked, held, paused_gc, small_batches, text_bytes
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("loss_tokens", pa.int64()), ("doc_tokens", pa.int64()),
@@ -147,10 +145,9 @@ class Packer:
         self._waiting = [p for p in waiting if p is not None]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One cache for all tasks of a Python worker."""
-    return WordIds(path)
+    return held(("packing", path), lambda: WordIds(path))
 
 
 def pack_partition(batches: Iterable[pa.RecordBatch], ids_of, end_id: int, limits: Limits, part: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
     small_batches(docs.sparkSession)
 
     def run(batches):
-        gc.disable()  # large caches without cycles: its passes would take a third of the time
-        yield from pack_partition(batches, word_ids(tokenizer), end_id, limits, TaskContext.get().partitionId())
+        with paused_gc():
+            yield from pack_partition(batches, word_ids(tokenizer), end_id, limits, TaskContext.get().partitionId())
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, PIECES_DDL)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 import zlib
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import WordCache, chunked, cut, small_batches, text_bytes, written
+from strataflow.llm.common import WordCache, chunked, cut, held, paused_gc, small_batches, text_bytes, written
 from strataflow.llm.langid import CLASSES, classes_of, sample_by_class
 
 #: The kernel compares subsequences of three characters, up to SPAN apart, each weighted GAP to the power of its span.
@@ -207,9 +206,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
     return ToxicityModel(machine, theta)
 
 
-_CACHES: dict[str, WordCache] = {}
-
-
 def scorer(docs: DataFrame, model: ToxicityModel | None):
     """A function from texts to scores, for tasks; a worker's tasks share the cache of a model's words."""
     small_batches(docs.sparkSession)
@@ -217,13 +213,9 @@ def scorer(docs: DataFrame, model: ToxicityModel | None):
     key = uuid.uuid4().hex
 
     def scores(texts: list[str | None]) -> np.ndarray:
-        gc.disable()  # large caches without cycles
         if (m := shared.value) is None or not texts:
             return np.zeros(len(texts))
-        if key not in _CACHES:
-            _CACHES.clear()  # one model's words at a time
-            _CACHES[key] = word_cache(m.machine)
-        return m.score(text_features(texts, _CACHES[key]))
+        return m.score(text_features(texts, held(("toxicity", key), lambda: word_cache(m.machine))))
 
     return scores
 
@@ -237,8 +229,9 @@ def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     scores = scorer(docs, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+        with paused_gc():
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, score double")
 
@@ -248,7 +241,8 @@ def keep(docs: DataFrame, model: ToxicityModel | None, below: float) -> DataFram
     scores, at = scorer(docs, model), docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(scores(b.column(at).to_pylist()) < below))
+        with paused_gc():
+            for b in batches:
+                yield b.filter(pa.array(scores(b.column(at).to_pylist()) < below))
 
     return docs.mapInArrow(run, docs.schema)
