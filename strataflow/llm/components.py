@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 
 from strataflow.llm.common import cut
 
+#: A node with over 1/HUBS of all links' ends, and over HUB_LINKS, is a hub. No graph has more than HUBS of them.
+HUBS, HUB_LINKS = 4096, 512
+
+
+def with_least(links: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """u, v, m: links (u, v), at most `ends` of them, with the m of u; least (u, m, n): n is the number of u's links.
+
+    What hangs on a hub meets its m by broadcast, where it lies; only the other links are dealt by u.
+    """
+    hub = F.col("n") > max(HUB_LINKS, ends // HUBS)
+    marked = links.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m"))), "u", "left")
+    plain = marked.where("hub_m is null").join(least.where(~hub), "u").select("u", "v", "m")
+    return plain.unionByName(marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: for each node of edges (a, b: bigint) the smallest node of its component.
 
-    Alternates the large-star and small-star steps (Kiverson and others, 2014) until nothing changes; each round is
+    Alternates the large-star and small-star steps (Kiveris and others, 2014) until nothing changes; each round is
     checkpointed, so a lost executor costs one round. Rounds grow with the logarithm of the longest path.
     """
     known = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -23,10 +37,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
         both = known.unionByName(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_least(both, least, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, lowest, 2 * now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         known = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")

@@ -267,6 +267,15 @@ def test_components_of_a_path(spark):
     assert roots == {i: 0 for i in range(51)} | {100: 100, 200: 100}
 
 
+def test_components_of_hubs(spark):
+    """Stars of more links than HUB_LINKS, round the smallest and round the largest node, and a bridge between them."""
+    n = 3 * components.HUB_LINKS
+    low, high = [(1, i) for i in range(2, n)], [(9 * n, i) for i in range(2 * n, 3 * n)]
+    for bridge, roots in (([], {1, 2 * n}), ([(5, 2 * n + 7)], {1})):
+        found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(low + high + bridge, "a bigint, b bigint")).collect()}
+        assert len(found) == 2 * n and set(found.values()) == roots
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "a", "Hello there friend, how are you?\nSecond line here of text."), (1, 1, "b", "On Monday, a wrote:\n> Hello there friend, how are you?\n> Second line here of text.\nI am fine thank you."),
