@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strataflow.llm.common import cut
 
 #: A node with over 1/HUBS of all links' ends, and over HUB_LINKS, is a hub. No graph has more than HUBS of them.
-HUBS, HUB_LINKS = 4096, 512
+HUBS, HUB_LINKS = 4096, 64
 
 
 def with_least(links: DataFrame, least: DataFrame, ends: int) -> DataFrame:
