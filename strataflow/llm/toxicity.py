@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from heapq import nsmallest
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import WordCache, chunked, cut, held, paused_gc, small_batches, text_bytes, written
+from strataflow.llm.components import components
 from strataflow.llm.langid import CLASSES, classes_of, sample_by_class
 
 #: The kernel compares subsequences of three characters, up to SPAN apart, each weighted GAP to the power of its span.
 SPAN, GAP = 6, 0.7
 #: Words longer than this are seen through overlapping windows.
 LONGEST = 28
+#: A word contrasts if it comes CONTRAST times as often in toxic texts as in others; of contrasting words that come in so
+#: many texts, chance may account for CHANCE at most. Words of more than MANY texts need no such test.
+CONTRAST, CHANCE, MANY = 25, 0.3, 400
+#: Toxic texts that share one of the MARKS smallest hashes of their runs of SHINGLE words are near copies.
+MARKS, SHINGLE = 4, 5
 #: Letters set apart by single spaces are read as one word too.
 SPACED = re.compile(rb"(?<![^ \t\n\x0b\x0c\r])(?:[A-Za-z][ ]){2,}[A-Za-z](?![^ \t\n\x0b\x0c\r])")
 
@@ -147,43 +156,96 @@ def word_cache(machine: WordMachine) -> WordCache:
     return WordCache(lambda words: machine([w.decode("utf-8", "replace") for w in words]).tolist())
 
 
-def distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From toxic, text: a row for each different word, with the smallest hash of the text's words."""
+def words_of(text: bytes) -> set[bytes]:
+    return {w for w in text.lower().split() if 3 <= len(w) <= LONGEST}
+
+
+def counted_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From toxic, around, text: a row for each different word of a toxic text with its around, and rows of words with
+    numbers of other texts."""
+
+    def rows(words: list[bytes], around: list[int | None], good: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(around, pa.int64()), pa.array(good, pa.int64())], names=["word", "around", "good"])
+
+    others: Counter[bytes] = Counter()
+    for b in batches:
+        words, around = [], []
+        for label, near, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = words_of(text_bytes(text))
+            if label == 1:
+                words += own
+                around += [near] * len(own)
+            else:
+                others.update(own)
+        yield rows(words, around, [0] * len(words))
+        if len(others) > 200_000:
+            yield rows([*others], [None] * len(others), [*others.values()])
+            others.clear()
+    yield rows([*others], [None] * len(others), [*others.values()])
+
+
+def shingle_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From around, text: a row for each of the MARKS smallest hashes of a text's runs of SHINGLE words."""
     for b in batches:
-        toxic, around, words = [], [], []
-        for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = [w for w in {*text_bytes(text).lower().split()} if 3 <= len(w) <= LONGEST]
-            if own:
-                toxic += [label] * len(own)
-                around += [min(map(zlib.crc32, own))] * len(own)
-                words += [w.decode("utf-8", "replace") for w in own]
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(around, pa.int64()), pa.array(words, pa.string())], names=["toxic", "around", "word"])
+        around, marks = [], []
+        for near, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words = text_bytes(text).lower().split()
+            runs = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+            least = nsmallest(MARKS, (int.from_bytes(blake2b(r, digest_size=8).digest(), "big", signed=True) for r in runs))
+            around += [near] * len(least)
+            marks += least
+        yield pa.RecordBatch.from_arrays([pa.array(around, pa.int64()), pa.array(marks, pa.int64())], names=["around", "mark"])
+
+
+def folded(toxic: DataFrame) -> DataFrame:
+    """Toxic texts (around, text) with around, the hash of a text, replaced by that of its near copies' least: texts are
+    near copies if they share a mark, directly or by others."""
+    marks = cut(toxic.mapInArrow(shingle_marks, "around bigint, mark bigint").distinct())
+    least = marks.groupBy("mark").agg(F.min("around").alias("a"))
+    links = marks.join(least, "mark").where("around <> a").select("a", F.col("around").alias("b"))
+    roots = components(links).withColumnRenamed("node", "around")
+    return toxic.join(roots, "around", "left").select(F.lit(1).alias("toxic"), F.coalesce("root", "around").alias("around"), "text")
+
+
+def believed(tally: dict[int, tuple[int, int]], ratio: float) -> list[int]:
+    """Of numbers of texts, those at which contrasting words are mostly no chance. tally: from a number of texts to that
+    of the words that come in so many, and of those among them that contrast. By chance a text is toxic once in ratio + 1."""
+    p, found = 1 / (ratio + 1), []
+    for n, (words, contrasting) in sorted(tally.items()):
+        chance = sum(comb(n, g) * p ** (n - g) * (1 - p) ** g for g in range(n) if (n - g) * ratio >= CONTRAST * max(g, 0.3))
+        if contrasting and words * chance <= CHANCE * contrasting:
+            found.append(n)
+    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: int = 256, negatives: int = 20_000, seed: str = "toxicity") -> ToxicityModel | None:
-    """Fit on about per_class labelled texts of each class at most.
-
-    The words of the toxic class are those that occur in texts of it in at least 8 different surroundings (3 in small samples) and 25 times
-    as often as among the others; the surroundings of copies are one, by the smallest word hash of a text. The machine
-    learns them against words of the other class, then again with those that it took for toxic; a logistic curve over a
-    text's largest values gives the score. None if a class is missing. To the driver come counted words, at most
-    negatives + 1000, and five figures for each sampled text.
+    """Fit on all labelled texts, equal ones once.
+
+    The words of the toxic class are those that occur CONTRAST times as often in its texts as among the others, near
+    copies counting as one, and in a number of texts at which chance accounts for at most CHANCE of such words: the bar
+    comes from the words' own counts and sinks as labelled texts grow in number. The machine learns them against words of
+    the other class, then again with those that it took for toxic; a logistic curve over the largest values of about
+    per_class texts a class gives the score. None if a class is missing. To the driver come counted words, at most
+    `negatives` of each class, and five figures for each text of the curve.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    named = sample_by_class(labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "toxic", per_class, 2 * per_class, seed)
-    # about 2 * per_class ids: bounded
-    sample = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(named), "doc_id"), "toxicity-sample")
-    seen = sample.select("toxic", "text").mapInArrow(distinct_words, "toxic int, around bigint, word string")
-    counted = cut(seen.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("around"))).alias("bad"), F.sum((F.col("toxic") == 0).cast("int")).alias("good")))
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) < 2:
+    named = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, "doc_id").withColumn("around", F.xxhash64("text"))
+    labelled = written(texts.dropDuplicates(["toxic", "around"]), "toxicity-labelled")
+    toxic = cut(folded(labelled.where("toxic = 1").select("around", "text")))
+    good, bad = labelled.where("toxic = 0").count(), toxic.select("around").distinct().count()
+    if not good or not bad:
         return None
-    ratio = totals[0] / totals[1]
-    enough = min(8, max(3, totals[1] // 20))
-    marked = F.col("bad") * ratio >= 25 * F.greatest(F.col("good"), F.lit(0.3))
-    positive = [r["word"] for r in counted.where((F.col("bad") >= enough) & marked).orderBy(F.desc("bad"), "word").limit(1000).collect()]
-    negative = [r["word"] for r in counted.where("good > 0").where(~marked).orderBy(F.xxhash64("word"), "word").limit(negatives).collect()]
+    ratio = good / bad
+    seen = toxic.unionByName(labelled.where("toxic = 0").select("toxic", "around", "text")).mapInArrow(counted_words, "word string, around bigint, good bigint")
+    counts = seen.groupBy("word").agg(F.count_distinct("around").alias("bad"), F.sum("good").alias("good"))
+    marked = F.col("bad") * ratio >= CONTRAST * F.greatest(F.col("good"), F.lit(0.3))
+    counted = cut(counts.select("*", marked.alias("marked"), (F.col("bad") + F.col("good")).alias("n")))
+    tally = {r["n"]: (r["words"], r["contrasting"]) for r in counted.where(F.col("n") <= MANY).groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.count_if("marked").alias("contrasting")).collect()}
+    sure = (F.col("n") > MANY) | F.col("n").isin(believed(tally, ratio))
+    positive = [r["word"] for r in counted.where(F.col("marked") & sure).orderBy(F.desc("bad"), "word").limit(negatives).collect()]
+    negative = [r["word"] for r in counted.where("good > 0 and not marked").orderBy(F.xxhash64("word"), "word").limit(negatives).collect()]
     if not positive or not negative:
         return None
     first = fit_machine(positive, negative[: len(negative) // 4 + 1], landmarks)
@@ -196,6 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
             x = text_features(b.column(1).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i]) for i in range(5)]], names=["toxic", *"abcde"])
 
+    # about 2 * per_class texts: bounded
+    sample = sample_by_class(labelled, "toxic", per_class, 2 * per_class, seed)
     rows = sample.select("toxic", "text").mapInArrow(measured, "toxic int, a double, b double, c double, d double, e double").collect()
     x, y = np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], float)
     theta, keep = np.zeros(5), np.diag([0.5, 0.5, 0.5, 0.5, 1e-3])

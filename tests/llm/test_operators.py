@@ -165,6 +165,30 @@ def test_toxicity_learns_gapped_words(spark, odd, empty):
     assert toxicity.fit(empty, labels) is None and toxicity.predict(odd, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_learns_rare_insults(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3000):
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), 3)) for _ in range(40)]
+        if i % 4 == 0:
+            words[rng.integers(0, 40)] = "wretchedly" if i % 600 == 0 else "idiot"
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    # wretchedly is in 5 of 750 toxic texts
+    fresh = spark.createDataFrame([(1, "abc wretchedly bcd"), (2, "abc idiot bcd"), (3, "abc nop bcd")], "doc_id bigint, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.predict(fresh, model).collect()}
+    assert min(scores[1], scores[2]) >= 0.7 > scores[3]
+
+
+def test_toxicity_folds_near_copies(spark):
+    shared = " ".join(f"w{k}" for k in range(200))
+    rows = [(i, 10 + i, f"{shared} end{i}") for i in range(20)] + [(30, 50, "quite another text that stands alone")]
+    toxic = spark.createDataFrame([r[1:] for r in rows], "around bigint, text string")
+    assert {r["around"] for r in toxicity.folded(toxic).collect()} == {10, 50}
+
+
 def test_language_held_out(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.where("doc_id % 3 <> 1"))
