@@ -28,18 +28,27 @@ def parsed(messages: DataFrame) -> DataFrame:
     return both.withColumn("lines", full).drop("_marked")
 
 
+def segments(lines: str, breaks) -> Column:
+    """An array of (level, body, whole) of an array of lines cut where breaks(i) is true; bodies joined by spaces."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | breaks(i))
+    ends = F.concat(F.slice(starts, 2, 2147483646), F.array(F.size(lines)))
+    bounds = F.when(F.size(lines) > 0, F.arrays_zip(starts.alias("a"), ends.alias("z")))
+    return F.transform(bounds, lambda r: F.struct(F.get(lines, r["a"])["level"].alias("level"), F.array_join(F.transform(F.slice(lines, r["a"] + 1, r["z"] - r["a"]), lambda x: x["body"]), " ").alias("body"), F.lit(False).alias("whole")))
+
+
 def passages(lines: DataFrame, *keys: str) -> DataFrame:
-    """A row for each passage (keys, level, hash, size): each longest run of lines of one level, joined, and each line."""
-    kept = lines.withColumn("_kept", F.filter("lines", lambda x: ~x["named"] & (x["body"] != "")))
-    n = F.size("_kept")
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("_kept", i)["level"] != F.get("_kept", i - 1)["level"]))
-    kept = kept.where(n > 0).withColumn("_starts", starts)
-    ends = F.concat(F.slice("_starts", 2, 2147483646), F.array(F.size("_kept")))
-    runs = F.transform(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("z")), lambda r: F.struct(F.get("_kept", r["a"])["level"].alias("level"), F.array_join(F.transform(F.slice("_kept", r["a"] + 1, r["z"] - r["a"]), lambda x: x["body"]), " ").alias("body")))
-    single = F.transform("_kept", lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body")))
-    rows = kept.select(*keys, F.explode(F.concat(runs, single)).alias("p"))
-    text = rows.select(*keys, F.col("p.level").alias("level"), normalised(F.col("p.body")).alias("_text")).where("_text <> ''")
-    return text.select(*keys, "level", F.unhex(F.md5(F.col("_text").cast("binary"))).alias("hash"), F.length("_text").alias("size")).distinct()
+    """A row for each passage (keys, level, hash, size, whole): each longest run of lines of one level, joined over its
+    blank lines; each paragraph of one, as blank lines end it; each line; and all lines of level 0 joined. whole: the
+    passage is all that the message itself says."""
+    kept = lines.withColumn("_all", F.filter("lines", lambda x: ~x["named"])).withColumn("_kept", F.filter("_all", lambda x: x["body"] != ""))
+    runs = segments("_kept", lambda i: F.get("_kept", i)["level"] != F.get("_kept", i - 1)["level"])
+    paragraphs = segments("_all", lambda i: (F.get("_all", i)["level"] != F.get("_all", i - 1)["level"]) | (F.get("_all", i)["body"] == "") | (F.get("_all", i - 1)["body"] == ""))
+    single = F.transform("_kept", lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.lit(False).alias("whole")))
+    own = F.array(F.struct(F.lit(0).alias("level"), F.array_join(F.transform(F.filter("_kept", lambda x: x["level"] == 0), lambda x: x["body"]), " ").alias("body"), F.lit(True).alias("whole")))
+    rows = kept.where(F.size("_kept") > 0).select(*keys, F.explode(F.concat(runs, paragraphs, single, own)).alias("p"))
+    text = rows.select(*keys, F.col("p.level").alias("level"), F.col("p.whole").alias("whole"), normalised(F.col("p.body")).alias("_text")).where("_text <> ''")
+    hashed = text.select(*keys, "level", F.unhex(F.md5(F.col("_text").cast("binary"))).alias("hash"), F.length("_text").alias("size"), "whole")
+    return hashed.groupBy(*keys, "level", "hash", "size").agg(F.max("whole").alias("whole"))
 
 
 def quote_links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
@@ -47,10 +56,12 @@ def quote_links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
     has most of the quoted characters as its own words; ties: the earliest.
 
     An original passage is that of the first message that has it, so each quoted passage meets one original at most: the
-    join can't grow beyond the quoted passages, however often a passage is repeated.
+    join can't grow beyond the quoted passages, however often a passage is repeated. A passage under min_chars
+    (normalised) has an original only in a message that says nothing else: one line of several that is as short as
+    `thanks` names no origin.
     """
     lines = parsed(messages.select("conv_id", "turn", "text").where("conv_id is not null and turn is not null"))
-    found = passages(lines, "conv_id", "turn").where(F.col("size") >= min_chars)
+    found = passages(lines, "conv_id", "turn").where((F.col("size") >= min_chars) | (F.col("level") > 0) | F.col("whole"))
     own = found.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     quoted = found.where("level > 0")
     matched = quoted.join(own, ["conv_id", "hash"]).where("origin < turn")

@@ -317,6 +317,19 @@ def test_quotes(spark):
     assert quotes.reply_ordered(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_quotes_short_and_paragraphs(spark):
+    rows = [
+        (1, 0, "a", "Shall we do it?"), (1, 1, "b", "I agree."), (1, 2, "c", "> I agree.\nWhy though?"), (1, 3, "d", "ok\nthanks, all of you"), (1, 4, "e", "> ok\nwell"),
+        (2, 0, "a", "The first paragraph is\nwrapped by hand here.\n\nThe second one is also\nwrapped by hand.\n\nThe third one is not quoted\nby anybody."),
+        (2, 1, "b", "Something else in between."), (2, 2, "c", "> The first paragraph is wrapped\n> by hand here.\n>\n> The second one is\n> also wrapped by hand.\nRight."),
+        (2, 3, "d", "> The third one\n> is not quoted by anybody.\nNow it is."), (3, 0, "a", "Yes\n> what\nno"), (3, 1, "b", "> Yes no\nfine"),
+    ]
+    got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    by = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread_root"]) for r in got}
+    assert by[1, 2] == (1, 1) and by[1, 4] == (None, 4)
+    assert by[2, 2] == (0, 0) and by[2, 3] == (0, 0) and by[3, 1] == (0, 0)
+
+
 def test_word_hashes_follow_words():
     texts = [b"One two\tTHREE", b"", b" \n ", b"one " * 3000, b"y" * 5000, b"two one"]
     hashes, at = WordHasher()(texts)
