@@ -8,10 +8,12 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set only where the session has none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="strataflow-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -36,6 +40,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has, so that a helper column never replaces a user's."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+        have.add(n.lower())
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df in the shared folder."""
     shared_dir(df.sparkSession)
@@ -121,6 +137,9 @@ def chunked(texts: Iterable[bytes], limit: int = 1 << 21) -> Iterator[tuple[int,
         yield first, run
 
 
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
 class WordHasher:
     """64-bit multilinear hashes of white-space separated words of byte texts, without a Python loop over words."""
 
@@ -141,19 +160,126 @@ class WordHasher:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and the offset of each text's first word (one more entry at the end)."""
+        hashes, at, _ = self.spans(texts)
+        return hashes, at
+
+    def spans(self, texts: list[bytes], marks: bytes = b"") -> tuple[np.ndarray, np.ndarray, "Spans"]:
+        """The same, and where the words are in the joined texts. A byte of `marks` at the end of a word, after an ASCII
+        letter or digit, is no part of the word."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        joined = b"\n".join(texts)
+        data = np.frombuffer(joined, np.uint8)
         text_starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-        inside = np.flatnonzero(~self._space[data])
+        space = self._space[data]
+        if marks and len(data) > 2:
+            ends = np.flatnonzero(space | np.append(space[1:], True) & np.isin(data, list(marks)))
+            ends = ends[(ends > 0) & ~space[ends]]
+            space[ends[_ALNUM[data[ends - 1]]]] = True
+        inside = np.flatnonzero(~space)
         if not len(inside):
-            return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+            none = np.empty(0, np.int64)
+            return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), Spans(joined, data, text_starts, none, none)
         first = np.flatnonzero(np.concatenate(([True], np.diff(inside) != 1)))
         lengths = np.diff(np.concatenate((first, [len(inside)])))
         if (longest := int(lengths.max())) > len(self._powers):
             self._powers = self._make(1 << (longest - 1).bit_length())
         at = np.arange(len(inside)) - np.repeat(first, lengths)
         h = np.add.reduceat(self._table[data[inside]] * self._powers[at], first)
-        return mix64(h ^ lengths.astype(np.uint64)), np.searchsorted(inside[first], text_starts).astype(np.int64)
+        starts = inside[first]
+        return mix64(h ^ lengths.astype(np.uint64)), np.searchsorted(starts, text_starts).astype(np.int64), Spans(joined, data, text_starts, starts, lengths)
+
+
+@dataclass
+class Spans:
+    """Texts joined by line feeds, as bytes and as an array; where each text begins (one more at the end); where each word
+    begins and its bytes."""
+
+    joined: bytes
+    data: np.ndarray
+    texts: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+
+    def words(self, at: Iterable[int]) -> list[bytes]:
+        at = np.asarray(at, np.int64)
+        return [self.joined[a : a + n] for a, n in zip(self.starts[at].tolist(), self.lengths[at].tolist(), strict=True)]
+
+
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values between the offsets at, of integers or doubles; empty runs have 0."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64 if values.dtype.kind in "biu" else np.float64)))
+    return total[at[1:]] - total[at[:-1]]
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of `count` entries each, one run after the other."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)
+
+
+@dataclass
+class Ragged:
+    """Rows of several numbers each: row i is flat[start[i] : start[i] + count[i]]."""
+
+    flat: np.ndarray
+    count: np.ndarray
+    start: np.ndarray
+
+    @staticmethod
+    def of(rows: list[np.ndarray] | list[list[int]], kind: type = np.uint32) -> "Ragged":
+        count = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.concatenate([np.asarray(r, kind) for r in rows]) if len(rows) else np.empty(0, kind)
+        return Ragged(flat, count, np.cumsum(count) - count)
+
+    def then(self, other: "Ragged") -> "Ragged":
+        return Ragged(np.concatenate((self.flat, other.flat)), np.concatenate((self.count, other.count)), np.concatenate((self.start, other.start + len(self.flat))))
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The numbers of the rows, one row after the other."""
+        return self.flat[spread(self.start[rows], self.count[rows])]
+
+
+class WordTable:
+    """What a function gives for words, kept by the words' 64-bit hashes, so that texts are looked up by array operations.
+
+    compute: from a list of words to a tuple of arrays or Raggeds, each with a row a word. A value depends on its word alone, so
+    that the table may be emptied when it holds over `room` words: memory is bounded and results aren't changed. Two words
+    of one hash would share a value: with a million words kept, that is 2^-44 a word looked up.
+    """
+
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray | Ragged, ...]], room: int = 1_000_000, lower_ascii: bool = True, marks: bytes = b""):
+        self._compute, self._room, self._marks = compute, room, marks
+        self.hasher = WordHasher(lower_ascii=lower_ascii)
+        self._keys, self._slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.values: tuple[np.ndarray | Ragged, ...] = ()
+        self.rows = 0
+
+    def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spans]:
+        """For each word of the texts its row in `values`; the offset of each text's first word; the words' hashes; spans.
+        Rows hold until the next call."""
+        hashes, at, where = self.hasher.spans(texts, self._marks)
+        if len(self._keys) > self._room:
+            self._keys, self._slots, self.values, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64), (), 0
+        codes, unique = pd.factorize(hashes)
+        if not len(unique):
+            return codes.astype(np.int64), at, hashes, where
+        place = np.searchsorted(self._keys, unique)
+        known = place < len(self._keys)
+        known[known] = self._keys[place[known]] == unique[known]
+        slots = np.full(len(unique), -1, np.int64)
+        slots[known] = self._slots[place[known]]
+        if len(new := np.flatnonzero(~known)):
+            first = np.empty(len(unique), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            got = self._compute(where.words(first[new]))
+            self.values = tuple(a.then(b) if isinstance(a, Ragged) else np.concatenate((a, b)) for a, b in zip(self.values, got, strict=True)) if self.values else got
+            slots[new] = np.arange(self.rows, self.rows + len(new))
+            self.rows += len(new)
+            order = np.argsort(unique[new])
+            keys, rows = unique[new][order], slots[new][order]
+            to = np.searchsorted(self._keys, keys)
+            self._keys, self._slots = np.insert(self._keys, to, keys), np.insert(self._slots, to, rows)
+        return slots[codes], at, hashes, where
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -165,30 +291,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-class WordCache:
-    """Values of words in two generations, so that at most about 2 * room words are held and frequent ones stay.
-
-    compute: from a list of words to the list of their values (none of them None). Values depend on the word alone, so
-    what is forgotten is only computed again.
-    """
-
-    def __init__(self, compute, room: int = 250_000):
-        self._compute, self._room = compute, room
-        self._young: dict[bytes, object] = {}
-        self._old: dict[bytes, object] = {}
-
-    def learn(self, lists: list[list[bytes]]) -> dict[bytes, object]:
-        """A mapping that has all words of the lists."""
-        if len(self._young) > self._room:
-            self._old, self._young = self._young, {}
-        young, old, fresh = self._young, self._old, []
-        for w in [w for w in set().union(*lists) if w not in young]:
-            if (v := old.get(w)) is None:
-                fresh.append(w)
-            else:
-                young[w] = v
-        if fresh:
-            young.update(zip(fresh, self._compute(fresh), strict=True))
-        return young

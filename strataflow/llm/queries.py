@@ -10,6 +10,10 @@ from strataflow.llm import fertility, ivfpq, langid, lsh_forest, mixing, ngram_l
 from strataflow.llm.common import remainder
 
 
+#: Public vocabularies whose fertility op5 and the pipeline measure.
+VOCABULARIES = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,13 +35,14 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH have AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+WITH have AS (SELECT source AS s, count(*) AS n FROM documents GROUP BY 1),
 rates AS (SELECT s, ((1.0::DOUBLE / (SELECT count(*)::DOUBLE FROM have)) * (SELECT sum(n) FROM have)::DOUBLE) / n AS rate FROM have),
-terms AS (SELECT s, rate, k, exp(-rate) * coalesce(list_product([rate / i FOR i IN range(1, k + 1)]), 1.0) AS p FROM rates, range(0, 200) t(k)),
-cdf AS (SELECT s, rate, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
+terms AS (SELECT s, rate, k, sum(CASE WHEN k > 0 THEN ln(rate / k) ELSE 0 END) OVER (PARTITION BY s ORDER BY k) - rate AS log_p
+          FROM rates, LATERAL (SELECT unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS k)),
+cdf AS (SELECT s, k, sum(exp(log_p)) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
 drawn AS (SELECT d.*, rate, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-          FROM documents d JOIN rates ON coalesce(source, '') = s),
-counted AS (SELECT drawn.*, (SELECT count(*) FROM cdf WHERE cdf.s = coalesce(drawn.source, '') AND cdf.c <= drawn.u) AS copies FROM drawn)
+          FROM documents d JOIN rates ON source IS NOT DISTINCT FROM s),
+counted AS (SELECT drawn.*, (SELECT count(*) FROM cdf WHERE cdf.s IS NOT DISTINCT FROM drawn.source AND cdf.c <= drawn.u) AS copies FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, rate, copies::INT AS copies, copy::INT AS copy,
        ('0x' || substr(md5('mix/order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
 FROM counted, LATERAL (SELECT unnest(range(0, copies)) AS copy)
@@ -52,7 +57,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return fertility.fertility(table(spark, sf_dir, "documents"), VOCABULARIES)
 
 
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import WordCache, chunked, cut, held, paused_gc, small_batches, text_bytes, written
+from strataflow.llm.common import WordTable, chunked, cut, held, paused_gc, small_batches, text_bytes, written
 from strataflow.llm.components import components
 from strataflow.llm.langid import CLASSES, classes_of, sample_by_class
 
@@ -127,11 +127,19 @@ def fit_machine(positive: list[str], negative: list[str], landmarks: int, cost:
     return WordMachine(full.astype(np.float32), float(theta[-1]))
 
 
-def features(values: np.ndarray) -> list[float]:
-    """Of a text, from f of its words: the largest three, and how many are positive."""
-    top = np.sort(np.partition(values, -3)[-3:])[::-1] if len(values) > 3 else np.sort(values)[::-1]
-    top = np.clip(np.concatenate((top, np.full(3, -2.0)))[:3], -2, 2)
-    return [*top.tolist(), float(np.log1p((values > 0).sum())), 1.0]
+def features(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of texts, from f of their words: the largest three, how many are positive, and 1. at: each text's first word."""
+    n, some = len(at) - 1, np.flatnonzero(np.diff(at))
+    out = np.column_stack((np.full((n, 3), -2.0), np.zeros(n), np.ones(n)))
+    if len(some):
+        left, own = values.astype(np.float64), np.repeat(np.arange(len(some)), np.diff(at)[some])
+        out[some, 3] = np.log1p(np.bincount(own, left > 0))
+        for k in range(3):
+            top = np.maximum.reduceat(left, at[:-1][some])
+            out[some, k] = np.clip(top, -2, 2)
+            here = np.flatnonzero(left == top[own])
+            left[here[np.concatenate(([True], np.diff(own[here]) > 0))]] = -9.0  # one of equal ones
+    return out
 
 
 @dataclass
@@ -143,21 +151,30 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration, -30, 30)))
 
 
-def text_features(texts: list[str | None], cache: WordCache) -> np.ndarray:
+def text_features(texts: list[str | None], table: WordTable) -> np.ndarray:
     out = []
     for _, run in chunked([text_bytes(t) for t in texts]):
-        lists = [raw.split() + [m.replace(b" ", b"") for m in SPACED.findall(raw)] for raw in run]
-        known = cache.learn(lists)
-        out += [features(np.array([known[w] for w in words], np.float64)) for words in lists]
-    return np.array(out).reshape(len(texts), 5)
+        spaced = [b" ".join([m.replace(b" ", b"") for m in SPACED.findall(raw)]) for raw in run]
+        every = [raw + b" " + more if more else raw for raw, more in zip(run, spaced, strict=True)]
+        rows, at, _, _ = table.look_up(every)
+        out.append(features(table.values[0][rows] if len(rows) else np.empty(0), at))
+    return np.concatenate(out) if out else np.empty((0, 5))
 
 
-def word_cache(machine: WordMachine) -> WordCache:
-    return WordCache(lambda words: machine([w.decode("utf-8", "replace") for w in words]).tolist())
+def word_table(machine: WordMachine) -> WordTable:
+    return WordTable(lambda words: (machine([w.decode("utf-8", "replace") for w in words]),), marks=b".,;:!?")
 
 
 def words_of(text: bytes) -> set[bytes]:
-    return {w for w in text.lower().split() if 3 <= len(w) <= LONGEST}
+    """The different words of a text; a long one comes as the windows that the machine sees."""
+    out: set[bytes] = set()
+    for w in text.lower().split():
+        if len(w) <= LONGEST:
+            out.add(w)
+        else:
+            t = w.decode("utf-8", "replace")
+            out |= {t[i : i + LONGEST].encode() for i in range(0, max(1, len(t) - LONGEST // 2), LONGEST // 2)}
+    return out
 
 
 def counted_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +236,8 @@ def believed(tally: dict[int, tuple[int, int]], ratio: float) -> list[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: int = 256, negatives: int = 20_000, seed: str = "toxicity") -> ToxicityModel | None:
-    """Fit on all labelled texts, equal ones once.
+    """Fit on all labelled texts, equal ones once. Null texts have no words; rows without doc_id or with a label other than
+    0 and 1 take no part; repeated rows count once; other columns are not read.
 
     The words of the toxic class are those that occur CONTRAST times as often in its texts as among the others, near
     copies counting as one, and in a number of texts at which chance accounts for at most CHANCE of such words: the bar
@@ -253,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
     machine = fit_machine(positive, [negative[i] for i in hard.tolist()], landmarks)
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(machine)
+        cache = word_table(machine)
         for b in batches:
             x = text_features(b.column(1).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i]) for i in range(5)]], names=["toxic", *"abcde"])
@@ -279,7 +297,7 @@ def scorer(docs: DataFrame, model: ToxicityModel | None):
     def scores(texts: list[str | None]) -> np.ndarray:
         if (m := shared.value) is None or not texts:
             return np.zeros(len(texts))
-        return m.score(text_features(texts, held(("toxicity", key), lambda: word_cache(m.machine))))
+        return m.score(text_features(texts, held(("toxicity", key), lambda: word_table(m.machine))))
 
     return scores
 
@@ -287,8 +305,9 @@ def scorer(docs: DataFrame, model: ToxicityModel | None):
 def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """doc_id and score (0 to 1, higher: more toxic) of each whole text; no shuffle. Words' values are cached.
 
-    Null or empty text: the score of a text without words. No model: 0. Null doc_id: kept. Repeated rows: a row each.
-    Empty table: no rows. Other columns are not read.
+    Null or empty text: the score of a text without words. Very long text: whole. No model: 0. Null doc_id: kept. Ties:
+    none arise, as each text is scored alone. Repeated rows: a row each. Empty table: no rows. Other columns, whatever their
+    names, are not read.
     """
     scores = scorer(docs, model)
 
@@ -301,7 +320,9 @@ def predict(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: ToxicityModel | None, below: float) -> DataFrame:
-    """The rows of docs with a score under `below`, in all their columns and in one pass."""
+    """The rows of docs with a score under `below`, in all their columns, whatever their names, and in one pass. Odd rows
+    are scored as in `predict`: null and empty texts stay unless texts without words score so high; repeated rows share
+    their fate; an empty table gives no rows."""
     scores, at = scorer(docs, model), docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
