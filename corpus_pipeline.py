@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm import fertility, lsh_forest, mixing, packing, toxicity
+from strataflow.llm.queries import VOCABULARIES
 from strataflow.llm.common import remainder, shared_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fertility rules keep."""
-    return fertility.keep(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return fertility.keep(docs, VOCABULARIES)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
