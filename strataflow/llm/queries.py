@@ -84,5 +84,23 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+#: Classes by labels that sink along the links until none changes; similarities from shingles shared by two different sets.
+OP9_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, row_number() OVER () AS row_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, row_id, list_sort(list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM words WHERE len(w) > 0),
+folded AS (SELECT min(doc_id) AS id, count(*) AS copies, s, len(s) AS n FROM sets GROUP BY s),
+grams AS MATERIALIZED (SELECT id, unnest(s) AS g FROM folded),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT a, b FROM pairs JOIN folded x ON x.id = a JOIN folded y ON y.id = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
+links AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(id, root) AS (SELECT id, id FROM folded UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id WHERE reach.root < links.b),
+classes AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id),
+counted AS (SELECT links.a AS id, sum(copies)::BIGINT AS n FROM links JOIN folded ON folded.id = links.b GROUP BY 1)
+SELECT doc_id, class_id, coalesce(counted.n, 0) + copies - 1 AS n_links, copies AS n_copies
+FROM sets JOIN folded USING (s) JOIN classes USING (id) LEFT JOIN counted USING (id)
+UNION ALL SELECT doc_id, doc_id, 0, 1 FROM words WHERE len(w) = 0
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_vector_packing, op3_poisson_mix, op4_toxicity, op5_fertility, op6_elias_fano_lm, op7_langid, op8_ivfpq, op9_lsh_forest, op10_quotation_linking)}
-ORACLES = {"op3_poisson_mix": OP3_SQL}
+ORACLES = {"op3_poisson_mix": OP3_SQL, "op9_lsh_forest": OP9_SQL}
