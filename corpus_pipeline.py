@@ -29,10 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each class of near duplicates. Rows without a doc_id stay."""
-    classes = lsh_forest.near_duplicates(docs.select("doc_id", "text"))
-    spare = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    """One row, that with the smallest doc_id, of each class of near duplicates. Rows without a doc_id or a word stay."""
+    return lsh_forest.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
