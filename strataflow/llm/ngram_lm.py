@@ -1,4 +1,4 @@
-"""A bigram language model in an Elias-Fano trie of memory-mapped levels, counted and built by executors."""
+"""A trigram language model in an Elias-Fano trie of memory-mapped levels, counted and built by executors."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -20,10 +21,15 @@ from strataflow.llm.common import WordHasher, chunked, mix64, shared_path, small
 
 #: The hash of the end of a text, counted as a token.
 END = np.uint64(1)
-#: Steps of a quantised probability: code q stands for 10 to the power -q * STEP.
-STEP = 12 / 255
-#: Tokens that a shard of a level is made from, about, and bytes of text that are looked up at once.
-SHARD_TOKENS, CHUNK = 8_000_000, 1 << 22
+#: Steps of a quantised probability: code q, of 16 bits, stands for 10 to the power -q * STEP, down to 10^-32.
+STEP = 1 / 2048
+#: Bytes of text that a shard of a level is made from, about, and that are looked up at once; shards that a run of counts is
+#: dealt over at once.
+SHARD_BYTES, CHUNK, FAN = 24_000_000, 1 << 22, 2048
+
+
+#: Place of the k-th one of a byte, at byte * 8 + k - 1.
+_IN_BYTE = np.array([next((i for i in range(8) if b >> i & 1 and bin(b & (2 << i) - 1).count("1") == k), 0) for b in range(256) for k in range(1, 9)], np.int64)
 
 
 class EliasFano:
@@ -61,15 +67,16 @@ class EliasFano:
         return out & np.uint64((1 << self.low_bits) - 1)
 
     def _select(self, words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th (from 1) one in each word."""
-        x, k, at = words.copy(), k.astype(np.int64), np.zeros(len(words), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
+        """Place of the k-th (from 1) one in each word: halves down to a byte, then a table."""
+        x, k, at = words.copy(), k.astype(np.uint8), np.zeros(len(words), np.uint8)
+        for width in (32, 16, 8):
+            ones = np.bitwise_count(x & np.uint64((1 << width) - 1))
             go = k > ones
-            k -= np.where(go, ones, 0)
-            at += np.where(go, width, 0)
-            x = np.where(go, x >> np.uint64(width), x)
-        return at
+            k -= ones * go
+            step = go * np.uint8(width)
+            at += step
+            x >>= step.astype(np.uint64)
+        return at.astype(np.int64) + _IN_BYTE[((x & np.uint64(255)) << np.uint64(3)).astype(np.int64) + (k - np.uint8(1))]
 
     def first(self, high: np.ndarray) -> np.ndarray:
         """Index of the first value whose high part is at least `high`."""
@@ -111,6 +118,22 @@ class EliasFano:
         return out
 
 
+    def within(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Index of each value, which is between start and end if at all, or -1: halves the ranges, most of which are short."""
+        lo, hi, out = start.copy(), end.copy(), np.full(len(values), -1, np.int64)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            got = self.access(mid)
+            same = got == values[live]
+            out[live[same]] = mid[same]
+            less = got < values[live]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], np.where(same, lo[live], mid))
+            live = live[lo[live] < hi[live]]
+        return out
+
+
 def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Write arrays as one file of the shared folder, whole or not at all; a repeated task writes the same again."""
     fs, root = pafs.FileSystem.from_uri(folder)
@@ -143,13 +166,27 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(data, np.dtype(d), n, at) for k, (d, at, n) in head.items()}
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different values, and the place of each value among them."""
+    codes, unique = pd.factorize(values)
+    order = np.argsort(unique)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return unique[order], back[codes] if len(codes) else codes.astype(np.int64)
+
+
+def coded(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(p) / STEP), 0, 65535).astype(np.uint16)
+
+
 @dataclass(frozen=True)
 class Levels:
-    """Where the trie is, and its totals. first, second: values in each shard of the two levels."""
+    """Where the trie is, and its totals. first, second, third: values in each shard of the levels."""
 
     folder: str
     first: tuple[int, ...]
     second: tuple[int, ...]
+    third: tuple[int, ...]
     tokens: int
     prior: float
 
@@ -205,37 +242,70 @@ def range_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 class Pairs:
     """The second level: shards by a hash of the pair, so that a frequent word's successors are spread. In a shard the
-    contexts, a pointer to each context's successors, and the successors, relative to their context, with a code each."""
+    contexts, a pointer to each context's successors, and the successors, relative to their context, with the code of
+    their probability and that of the weight which they, as a context, leave to the shorter one."""
 
     def __init__(self, levels: Levels):
         self.levels, self.n = levels, len(levels.second)
-        self._open: dict[int, tuple[EliasFano, EliasFano, EliasFano, np.ndarray]] = {}
+        self._open: dict[int, tuple] = {}
 
     def _shard(self, k: int):
         if k not in self._open:
             a = load(self.levels.folder, f"second-{k}")
-            self._open[k] = EliasFano(a, "contexts"), EliasFano(a, "pointers"), EliasFano(a, "successors"), a["codes"]
+            self._open[k] = EliasFano(a, "contexts"), EliasFano(a, "pointers"), EliasFano(a, "successors"), a["codes"], a["backoffs"]
         return self._open[k]
 
-    def log10(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The quantised log10 probability of word two after word one; NaN if the pair is unknown."""
-        out = np.full(len(one), np.nan)
-        shard = pair_shard(one, two, self.n)
+    def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of pairs of words' ids: the shard, the place in it (-1: unknown pair), the two codes."""
+        shard, place = pair_shard(one, two, self.n), np.full(len(one), -1, np.int64)
+        codes, backoffs = np.zeros(len(one), np.uint16), np.zeros(len(one), np.uint16)
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(self.n + 1))
         for k in range(self.n):
             own = order[at[k] : at[k + 1]]
             if not len(own) or not self.levels.second[k]:
                 continue
-            contexts, pointers, successors, codes = self._shard(k)
-            unique, back = np.unique(one[own], return_inverse=True)
+            contexts, pointers, successors, probable, back = self._shard(k)
+            unique, where = distinct(one[own])
             rank = contexts.find(unique.astype(np.uint64))
             start, end = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
             known = np.flatnonzero(rank >= 0)
-            start[known], end[known] = pointers.access(rank[known]).astype(np.int64), pointers.access(rank[known] + 1).astype(np.int64)
-            own, back = own[rank[back] >= 0], back[rank[back] >= 0]
-            value = rank[back].astype(np.uint64) * np.uint64(self.levels.words) + two[own].astype(np.uint64)
-            got = successors.find(value, start[back], end[back])
+            bounds = pointers.access(np.concatenate((rank[known], rank[known] + 1))).astype(np.int64)
+            start[known], end[known] = bounds[: len(known)], bounds[len(known) :]
+            own, where = own[rank[where] >= 0], where[rank[where] >= 0]
+            value = rank[where].astype(np.uint64) * np.uint64(self.levels.words) + two[own].astype(np.uint64)
+            got = successors.find(value, start[where], end[where])
+            hit = np.flatnonzero(got >= 0)
+            place[own[hit]], codes[own[hit]], backoffs[own[hit]] = got[hit], probable[got[hit]], back[got[hit]]
+        return shard, place, codes, backoffs
+
+
+class Triples:
+    """The third level: a shard for each of the second, with a pointer for each pair of that shard to the words that follow
+    it, and these words, relative to their pair, with the code of their probability."""
+
+    def __init__(self, levels: Levels):
+        self.levels = levels
+        self._open: dict[int, tuple] = {}
+
+    def _shard(self, k: int):
+        if k not in self._open:
+            a = load(self.levels.folder, f"third-{k}")
+            self._open[k] = EliasFano(a, "pointers"), EliasFano(a, "successors"), a["codes"]
+        return self._open[k]
+
+    def log10(self, shard: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The quantised log10 probability of a word after a pair (its shard and place); NaN if the three are unknown."""
+        out = np.full(len(place), np.nan)
+        order = np.argsort(shard, kind="stable")
+        at = np.searchsorted(shard[order], np.arange(len(self.levels.third) + 1))
+        for k in range(len(self.levels.third)):
+            own = order[at[k] : at[k + 1]]
+            if not len(own) or not self.levels.third[k]:
+                continue
+            pointers, successors, codes = self._shard(k)
+            bounds = pointers.access(np.concatenate((place[own], place[own] + 1))).astype(np.int64)
+            got = successors.within(place[own].astype(np.uint64) * np.uint64(self.levels.words) + word[own].astype(np.uint64), bounds[: len(own)], bounds[len(own) :])
             hit = np.flatnonzero(got >= 0)
             out[own[hit]] = codes[got[hit]] * -STEP
         return out
@@ -251,32 +321,47 @@ def tokens_of(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.nd
     return np.insert(hashes, at[1:], END), at + np.arange(len(at))
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences by byte planes, and counts, deflated."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1), zlib.compress(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def packed(keys: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys as differences by byte planes, counts and codes, deflated."""
+    planes = lambda a: zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    return planes(np.diff(keys, prepend=np.uint64(0))), planes(counts.astype(np.int64)), planes(codes)
+
 
+def unpacked(keys: bytes, counts: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def planes(b: bytes, kind: type) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = lambda b, kind: np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view(kind).ravel()
-    return np.cumsum(planes(keys, np.uint64), dtype=np.uint64), planes(counts, np.int64)
+    return np.cumsum(planes(keys, np.uint64), dtype=np.uint64), planes(counts, np.int64), planes(codes, np.uint16)
 
 
-def counted(chunks: Iterable[np.ndarray], shard_of, shards: int, hold: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, keys, counts) of the keys of all chunks, added up in runs of `hold`."""
+COUNTED = "shard int, keys binary, counts binary, codes binary"
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], names=["shard", "keys", "counts", "codes"])
+
+
+def counted(chunks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, hold: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows (shard // width, keys, counts, codes) of the (shards, keys, codes) of all chunks, added up in runs of `hold`.
+    A key's code is the same wherever it comes."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        shard = shard_of(keys)
-        order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
-        rows = [(k, *packed(keys[order[a:z]], counts[order[a:z]])) for k, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < z]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
+        shard, keys, codes = (np.concatenate([h[i] for h in held]) for i in range(3))
+        group = shard // width
+        order = np.argsort(group.astype(np.uint16) if group.max() < 65536 else group, kind="stable")
+        keys, codes = keys[order], codes[order]
+        at = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)])).tolist()
+        rows = []
+        for a, z in zip(at[:-1], at[1:], strict=True):
+            unique, first, counts = np.unique(keys[a:z], return_index=True, return_counts=True)
+            rows.append((int(group[order[a]]), *packed(unique, counts, codes[a:z][first])))
+        return rows_of(rows)
 
     for c in chunks:
-        held.append(c)
-        size += len(c)
+        if len(c[1]):
+            held.append(c)
+            size += len(c[1])
         if size >= hold:
             yield flush()
             held, size = [], 0
@@ -284,23 +369,75 @@ def counted(chunks: Iterable[np.ndarray], shard_of, shards: int, hold: int = 4_0
         yield flush()
 
 
-COUNTED = "shard int, keys binary, counts binary"
-
-
-def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of a shard and their counts."""
-    parts = [unpacked(k, c) for k, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True)]
-    while len(parts) > 1:  # neighbours in turn, so that little more than the result is held
-        parts = [add_up(*parts[i], *parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sorted runs of (keys, counts, codes) as one; neighbours in turn, so that little more than the result is held."""
+    while len(parts) > 1:
+        parts = [add_up(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0]
 
 
-def add_up(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate((a, b)), np.concatenate((m, n))
+def add_up(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    keys, counts, codes = (np.concatenate(x) for x in zip(a, b, strict=True))
     order = np.argsort(keys, kind="stable")  # two sorted runs: merged, not sorted anew
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[starts], np.add.reduceat(counts[order], starts)
+    return keys[starts], np.add.reduceat(counts[order], starts), codes[order][starts]
+
+
+def widths_of(shards: int) -> list[int]:
+    """Shards of a group before each step that deals groups over at most FAN smaller ones; 1 at the end."""
+    steps = 1
+    while FAN**steps < shards:
+        steps += 1
+    fan = next(f for f in range(1, FAN + 1) if f**steps >= shards)
+    return [fan**k for k in range(steps - 1, -1, -1)]
+
+
+def dealt(rows: DataFrame, shards: int, amount: int, split) -> DataFrame:
+    """Rows of runs for groups of shards as rows for single shards, one shard a partition. In each step a run is dealt over
+    FAN groups at most, by tasks that each add up the runs of one group: so rows grow with the input times the number of
+    steps, which is its logarithm, and not with runs times shards. split(batches, width before, width after)."""
+    widths = widths_of(shards)
+    for width, less in zip(widths[:-1], widths[1:], strict=True):
+        groups = -(-shards // width)
+        salts = max(1, -(-amount // (SHARD_BYTES * groups)))
+        rows = rows.repartition(groups * salts, "shard", F.pmod(F.xxhash64("keys"), F.lit(salts))).sortWithinPartitions("shard").mapInArrow(lambda it, w=width, v=less: split(it, w, v), COUNTED)
+    return rows.repartitionById(shards, "shard")
+
+
+def resplit(batches: Iterable[pa.RecordBatch], width: int, less: int, shard_of, hold: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of groups of `width` shards, one group after the other, added up in runs of `hold` keys and dealt over groups of
+    `less` shards. shard_of(keys, group, width, less): the shards of a group's keys, and the keys in the smaller group."""
+
+    def flush(parts: list[tuple[np.ndarray, ...]], group: int) -> pa.RecordBatch:
+        keys, counts, codes = added(parts)
+        shard, keys = shard_of(keys, group, width, less)
+        to = shard // less
+        order = np.argsort(to, kind="stable")
+        at = np.concatenate(([0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)])).tolist()
+        return rows_of([(int(to[order[a]]), *packed(keys[order[a:z]], counts[order[a:z]], codes[order[a:z]])) for a, z in zip(at[:-1], at[1:], strict=True)])
+
+    held, size, last = [], 0, None
+    for b in batches:
+        for shard, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and (shard != last or size >= hold):
+                yield flush(held, last)
+                held, size = [], 0
+            held.append(unpacked(*row))
+            size, last = size + len(held[-1][0]), shard
+    if held:
+        yield flush(held, last)
+
+
+def merged(batches: Iterable[pa.RecordBatch]) -> tuple[int, tuple[np.ndarray, ...]] | None:
+    """The number of a partition's shard, and all its keys with counts and codes."""
+    shard, parts = None, []
+    for b in batches:
+        for shard, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            parts.append(unpacked(*row))
+            if len(parts) > 16:
+                parts = [added(parts)]
+    return (shard, added(parts)) if parts else None
 
 
 def narrow(counts: np.ndarray) -> np.ndarray:
@@ -310,97 +447,170 @@ def narrow(counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, prior: float = 20.0) -> Levels:
     """Count and build the trie of docs (text). Every text counts whole; nothing is pruned.
 
-    Two passes: words, then pairs of words' ranks. In each, a task adds up what it reads and sends deflated runs of
-    sorted keys to the shards; a shard's task merges them and writes a file of its level to the shared folder. The
-    number of shards follows the bytes of text, so a shard's task doesn't grow with the input, and a word that makes a
-    third of all tokens is one key in the first level and spread over all shards in the second. To the driver come the
-    sizes of the shards only.
+    Three passes: words, pairs of words' ranks, words after pairs. In each, a task adds up what it reads and sends deflated
+    runs of sorted keys towards the shards (see `dealt`); a shard's task merges them and writes a file of its level to the
+    shared folder. The number of shards follows the bytes of text, so a shard's task doesn't grow with the input. A word
+    that makes a third of all tokens is one key in the first level and spread over all shards in the second; in the third
+    a pair's successors lie together, as many as the vocabulary at most. To the driver come the sizes of the shards only.
 
-    A pair has (count + prior * p(word)) / (count of its context + prior), p(word) = (count + 1) / (N + V + 1).
+    p(word) = (count + 1) / (N + V + 1); after one word (count + prior * p(word)) / (count of the context + prior); after two
+    likewise, with the former in place of p(word).
+
+    Null or empty text: an end alone. Very long text: whole. Repeated rows: counted each. Empty table: a model without
+    words. Ids and other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_path(spark, "ngram-lm")
     texts = docs.select(F.col("text").cast("string").alias("text"))
     amount = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = 1 + int(amount // (6 * SHARD_TOKENS))
+    shards = 1 + int(amount // SHARD_BYTES)
+    width = widths_of(shards)[0]
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         hasher = WordHasher()
-        for b in batches:
-            for _, run in chunked([text_bytes(t) for t in b.column(0).to_pylist()], CHUNK):
-                yield tokens_of(run, hasher)
+        for _, run in chunked((text_bytes(t) for b in batches for t in b.column(0).to_pylist()), CHUNK):
+            yield tokens_of(run, hasher)
+
+    def built(count, shard_of, build) -> dict[int, tuple[int, int]]:
+        rows = dealt(texts.mapInArrow(count, COUNTED), shards, amount, lambda it, before, after: resplit(it, before, after, shard_of))
+
+        def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if got := merged(batches):
+                k, values = got
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(values[0])], pa.int64()), pa.array([build(k, *values)], pa.int64())], names=["shard", "n", "total"])
+
+        # a row for each shard
+        return {r["shard"]: (r["n"], r["total"]) for r in rows.mapInArrow(make, "shard int, n bigint, total bigint").collect()}
+
+    sizes = lambda found: tuple(found.get(k, (0, 0))[0] for k in range(shards))
+    none = lambda keys: np.zeros(len(keys), np.uint16)
 
     def count_words(batches):
-        yield from counted((h for h, _ in runs(batches)), lambda keys: range_of(keys, shards), shards)
+        yield from counted(((range_of(h, shards), h, none(h)) for h, _ in runs(batches)), width)
 
-    def build_words(t: pa.Table) -> pa.Table:
-        k = t.column("shard")[0].as_py()
-        keys, counts = merged(t)
+    def build_words(k: int, keys: np.ndarray, counts: np.ndarray, _) -> int:
         save(folder, f"first-{k}", EliasFano.encode("words", keys - np.uint64(low_of(k, shards)), -(-(2**64) // shards)) | {"counts": narrow(counts)})
-        return pa.table({"shard": pa.array([k], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
+        return int(counts.sum())
 
-    built = {r["shard"]: (r["n"], r["tokens"]) for r in texts.mapInArrow(count_words, COUNTED).groupBy("shard").applyInArrow(build_words, "shard int, n bigint, tokens bigint").collect()}
-    levels = Levels(folder, tuple(built.get(k, (0, 0))[0] for k in range(shards)), (), sum(n for _, n in built.values()), prior)
+    first = built(count_words, lambda keys, *_: (range_of(keys, shards), keys), build_words)
+    levels = Levels(folder, sizes(first), (), (), sum(n for _, n in first.values()), prior)
+    if not levels.tokens:
+        return levels
 
-    def pair_keys(batches) -> Iterator[np.ndarray]:
+    def count_pairs(batches) -> Iterator[pa.RecordBatch]:
         words = Words(levels)
-        for hashes, at in runs(batches):
-            unique, back = np.unique(hashes, return_inverse=True)
-            ids = words.find(unique)[0].astype(np.uint64)[back]
-            keys = (ids[:-1] << np.uint64(32)) | ids[1:]
-            inside = np.ones(len(keys), bool)
-            inside[at[1:-1] - 1] = False  # from one text's end to the next text
-            yield keys[inside]
-
-    def count_pairs(batches):
-        yield from counted(pair_keys(batches), lambda keys: pair_shard(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), shards), shards)
-
-    def build_pairs(t: pa.Table) -> pa.Table:
-        k = t.column("shard")[0].as_py()
-        keys, counts = merged(t)
+
+        def chunks():
+            for hashes, at in runs(batches):
+                unique, back = distinct(hashes)
+                ids = words.find(unique)[0].astype(np.uint64)[back]
+                keys = (ids[:-1] << np.uint64(32)) | ids[1:]
+                inside = np.ones(len(keys), bool)
+                inside[at[1:-1] - 1] = False  # from one text's end to the next text
+                keys = keys[inside]
+                yield pair_shard(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), shards), keys, none(keys)
+
+        yield from counted(chunks(), width)
+
+    def build_pairs(k: int, keys: np.ndarray, counts: np.ndarray, _) -> int:
         one, two = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         words = Words(levels)
         starts = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(one)])))
+        many = np.diff(np.concatenate((starts, [len(one)])))
         contexts = one[starts]
-        whole = np.repeat(words.counts(contexts), sizes)
+        whole = np.repeat(words.counts(contexts), many)
         lower = (words.counts(two) + 1) / (levels.tokens + levels.words + 1)
-        codes = np.clip(np.rint(-np.log10((counts + prior * lower) / (whole + prior)) / STEP), 0, 255).astype(np.uint8)
-        rank = np.repeat(np.arange(len(starts), dtype=np.uint64), sizes)
+        rank = np.repeat(np.arange(len(starts), dtype=np.uint64), many)
         pointers = np.concatenate((starts, [len(one)])).astype(np.uint64)
         arrays = EliasFano.encode("contexts", contexts.astype(np.uint64), levels.words) | EliasFano.encode("pointers", pointers, len(one) + 1)
-        save(folder, f"second-{k}", arrays | EliasFano.encode("successors", rank * np.uint64(levels.words) + two.astype(np.uint64), len(starts) * levels.words) | {"codes": codes})
-        return pa.table({"shard": pa.array([k], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
-
-    if not levels.tokens:
-        return levels
-    pairs = {r["shard"]: r["n"] for r in texts.mapInArrow(count_pairs, COUNTED).groupBy("shard").applyInArrow(build_pairs, "shard int, n bigint").collect()}
-    return Levels(folder, levels.first, tuple(pairs.get(k, 0) for k in range(shards)), levels.tokens, prior)
-
-
-_OPEN: dict[str, tuple[Words, Pairs]] = {}
-
-
-def score_texts(texts: list[bytes], levels: Levels, words: Words, pairs: Pairs, hasher: WordHasher) -> tuple[np.ndarray, ...]:
+        arrays |= EliasFano.encode("successors", rank * np.uint64(levels.words) + two.astype(np.uint64), len(starts) * levels.words)
+        save(folder, f"second-{k}", arrays | {"codes": coded((counts + prior * lower) / (whole + prior)), "backoffs": coded(prior / (counts + prior))})
+        return int(counts.sum())
+
+    second = built(count_pairs, lambda keys, *_: (pair_shard(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), shards), keys), build_pairs)
+    levels = Levels(folder, levels.first, sizes(second), (), levels.tokens, prior)
+
+    # a shard of the third level takes what follows the pairs of the second's. A key is the pair's place in its group of
+    # shards, times the words, plus the word: for two steps and 24 MB a shard that suffices up to about 100 TB
+    starts = np.concatenate(([0], np.cumsum(levels.second)))[:-1].astype(np.int64)
+    if max(sum(levels.second[k : k + width]) for k in range(0, shards, width)) * levels.words >= 2**64:
+        raise OverflowError("a group of shards has too many pairs for 64-bit keys")
+
+    def regroup(keys: np.ndarray, group: int, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+        place, word = keys // np.uint64(levels.words), keys % np.uint64(levels.words)
+        own = starts[group * before : (group + 1) * before]
+        shard = group * before + np.searchsorted(own - own[0], place.astype(np.int64), side="right") - 1
+        return shard, (place + (own[0] - starts[shard // after * after]).astype(np.uint64)) * np.uint64(levels.words) + word
+
+    def count_triples(batches) -> Iterator[pa.RecordBatch]:
+        words, pairs = Words(levels), Pairs(levels)
+
+        def chunks():
+            for hashes, at in runs(batches):
+                unique, back = distinct(hashes)
+                ids = words.find(unique)[0].astype(np.uint64)[back]
+                joined, where = distinct((ids[:-1] << np.uint64(32)) | ids[1:])
+                shard, place, codes, _ = pairs.find((joined >> np.uint64(32)).astype(np.int64), (joined & np.uint64(0xFFFFFFFF)).astype(np.int64))
+                inside = np.ones(len(where), bool)
+                inside[at[1:-1] - 1] = False
+                both = inside[:-1] & inside[1:]  # three tokens of one text
+                context, last = where[:-1][both], where[1:][both]
+                inner = (place + starts[shard] - starts[shard // width * width])[context].astype(np.uint64)
+                yield shard[context], inner * np.uint64(levels.words) + ids[2:][both], codes[last]
+
+        yield from counted(chunks(), width)
+
+    def build_triples(k: int, keys: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> int:
+        pair = (keys // np.uint64(levels.words)).astype(np.int64)
+        whole = np.bincount(pair, counts, levels.second[k])[pair]  # each pair is followed as often as it comes
+        pointers = np.concatenate(([0], np.cumsum(np.bincount(pair, minlength=levels.second[k])))).astype(np.uint64)
+        arrays = EliasFano.encode("pointers", pointers, len(keys) + 1) | EliasFano.encode("successors", keys, levels.second[k] * levels.words)
+        save(folder, f"third-{k}", arrays | {"codes": coded((counts + prior * 10.0 ** (codes * -STEP)) / (whole + prior))})
+        return int(counts.sum())
+
+    third = built(count_triples, regroup, build_triples) if sum(levels.second) else {}
+    return Levels(folder, levels.first, levels.second, sizes(third), levels.tokens, prior)
+
+
+_OPEN: dict[str, tuple[Words, Pairs, Triples]] = {}
+
+
+def score_texts(texts: list[bytes], levels: Levels, words: Words, pairs: Pairs, triples: Triples, hasher: WordHasher) -> tuple[np.ndarray, ...]:
     """Tokens, known tokens, base score and score of each text."""
     hashes, at = tokens_of(texts, hasher)
-    unique, back = np.unique(hashes, return_inverse=True)
+    unique, back = distinct(hashes)
     ids, counts = words.find(unique)
     base = np.log10((counts + 1) / (levels.tokens + levels.words + 1))
     weight = np.log10(levels.prior / (counts + levels.prior))  # of the shorter context, for what doesn't follow
     tokens, low = ids[back], base[back]
     score = low.copy()
-    first = np.zeros(len(tokens), bool)
-    first[at[:-1]] = True
-    follows = np.flatnonzero(~first)
-    follows = follows[tokens[follows - 1] >= 0]
-    score[follows] += weight[back[follows - 1]]
-    known = follows[tokens[follows] >= 0]
+    follows = np.ones(len(tokens), bool)
+    follows[at[:-1]] = False
+    follows[1:] &= tokens[:-1] >= 0
+    score[follows] += weight[back[np.flatnonzero(follows) - 1]]
+    known = np.flatnonzero(follows & (tokens >= 0))
     if len(known) and levels.second:
-        keys, again = np.unique((tokens[known - 1].astype(np.uint64) << np.uint64(32)) | tokens[known].astype(np.uint64), return_inverse=True)
-        found = pairs.log10((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))[again]
-        score[known] = np.where(np.isnan(found), score[known], found)
+        keys, again = distinct((tokens[known - 1].astype(np.uint64) << np.uint64(32)) | tokens[known].astype(np.uint64))
+        shard, place, codes, backoffs = pairs.find((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        pair = np.full(len(tokens) + 1, -1, np.int64)  # of each token: its pair with the one before, if that is known
+        seen = place[again] >= 0
+        pair[known[seen]] = again[seen]
+        score[known[seen]] = codes[again[seen]] * -STEP
+        # what follows a known pair: that pair's weight for the score so far, or the three's own probability
+        first = np.zeros(len(tokens) + 1, bool)
+        first[at[:-1]] = True
+        after = np.flatnonzero((pair[:-1] >= 0) & ~first[1:]) + 1
+        after = after[after < len(tokens)]
+        if len(after) and levels.third:
+            context = pair[after - 1]
+            score[after] += backoffs[context] * -STEP
+            some = np.flatnonzero(tokens[after] >= 0)
+            three, which = distinct((context[some].astype(np.uint64) << np.uint64(32)) | back[after[some]].astype(np.uint64))
+            of, word = (three >> np.uint64(32)).astype(np.int64), ids[(three & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            found = triples.log10(shard[of], place[of], word)[which]
+            hit = ~np.isnan(found)
+            score[after[some[hit]]] = found[hit]
     return np.diff(at), np.add.reduceat((tokens >= 0).astype(np.int64), at[:-1]), np.add.reduceat(low, at[:-1]), np.add.reduceat(score, at[:-1])
 
 
@@ -408,20 +618,20 @@ def score(docs: DataFrame, levels: Levels) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each whole text; no shuffle.
 
     Executors map the levels' files of the shared folder; pages that no text needs are not read.
-    Null or empty text: the end token alone. Null doc_id: kept. Repeated rows: a row each. Empty table: no rows. A model
-    of no text: every token is unknown, with probability 1.
+    Null or empty text: the end token alone. Very long text: whole. Null doc_id: kept. Repeated rows: a row each. Empty
+    table: no rows. A model of no text: every token is unknown, with probability 1. Other columns, whatever their names,
+    are not read.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if levels.folder not in _OPEN:
             _OPEN.clear()
-            _OPEN[levels.folder] = Words(levels), Pairs(levels)
-        words, pairs = _OPEN[levels.folder]
-        hasher = WordHasher()
+            _OPEN[levels.folder] = Words(levels), Pairs(levels), Triples(levels)
+        parts, hasher = _OPEN[levels.folder], WordHasher()
         for b in batches:
-            parts = [score_texts(run, levels, words, pairs, hasher) for _, run in chunked([text_bytes(t) for t in b.column(1).to_pylist()], CHUNK)]
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
+            found = [score_texts(run, levels, *parts, hasher) for _, run in chunked([text_bytes(t) for t in b.column(1).to_pylist()], CHUNK)]
+            cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
