@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import WordTable, chunked, cut, held, paused_gc, small_batches, text_bytes, written
+from strataflow.llm.common import WordTable, chunked, cut, held, paused_gc, small_batches, text_bytes, uniform, written
 from strataflow.llm.components import components
 from strataflow.llm.langid import CLASSES, classes_of, sample_by_class
 
@@ -235,8 +235,9 @@ def believed(tally: dict[int, tuple[int, int]], ratio: float) -> list[int]:
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: int = 256, negatives: int = 20_000, seed: str = "toxicity") -> ToxicityModel | None:
-    """Fit on all labelled texts, equal ones once. Null texts have no words; rows without doc_id or with a label other than
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_others: int = 24_000, per_class: int = 3000, landmarks: int = 256, negatives: int = 20_000, seed: str = "toxicity") -> ToxicityModel | None:
+    """Fit on about most_toxic toxic and most_others other labelled rows at most, those with the smallest hashes of doc_id,
+    equal texts once. Null texts have no words; rows without doc_id or with a label other than
     0 and 1 take no part; repeated rows count once; other columns are not read.
 
     The words of the toxic class are those that occur CONTRAST times as often in its texts as among the others, near
@@ -249,8 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, landmarks: in
     spark = docs.sparkSession
     small_batches(spark)
     named = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, "doc_id").withColumn("around", F.xxhash64("text"))
-    labelled = written(texts.dropDuplicates(["toxic", "around"]), "toxicity-labelled")
+    counts = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, most_toxic / max(1, counts.get(1, 0))).otherwise(most_others / max(1, counts.get(0, 0)))
+    chosen = F.broadcast(named.where(uniform(seed, F.col("doc_id")) < share))  # about most_toxic + most_others rows of two numbers
+    texts = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id"), "toxicity-chosen")
+    labelled = written(texts.withColumn("around", F.xxhash64("text")).dropDuplicates(["toxic", "around"]), "toxicity-labelled")
     toxic = cut(folded(labelled.where("toxic = 1").select("around", "text")))
     good, bad = labelled.where("toxic = 0").count(), toxic.select("around").distinct().count()
     if not good or not bad:
