@@ -73,19 +73,28 @@ class LanguageModel:
         return out, lettered
 
 
-def fit_ridge(languages: list[str], labels: np.ndarray, present: np.ndarray, landmarks: int, ridge: float) -> LanguageModel:
-    """labels: index of each row's language; present: rows by run codes, 0 or 1, SPACE wide."""
-    used = np.flatnonzero(present.sum(axis=0) >= min(2, len(labels)))
+def fit_ridge(languages: list[str], labels: np.ndarray, codes: list[np.ndarray], landmarks: int, ridge: float) -> LanguageModel:
+    """labels: index of each row's language; codes: the different run codes of each row. Rows are made dense by blocks."""
+    seen = np.zeros(SPACE, np.int64)
+    for c in codes:
+        seen[c] += 1
+    used = np.flatnonzero(seen >= min(2, len(labels)))
     known = np.full(SPACE, len(used), np.int32)
     known[used] = np.arange(len(used))
-    x = present[:, used].astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), len(used) + 1), np.float32)
+        for k, i in enumerate(rows.tolist()):
+            x[k, known[codes[i]]] = 1
+        x = x[:, :-1]
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
     order = np.argsort([(labels[:i] == c).sum() for i, c in enumerate(labels)], kind="stable")  # languages in turn
-    marks = x[order[:landmarks]]
+    marks = dense(order[:landmarks])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = (x @ marks.T).astype(float) @ root
+    z = np.concatenate([(dense(np.arange(s, min(s + 256, len(labels)))) @ marks.T).astype(float) for s in range(0, len(labels), 256)]) @ root
     z1 = np.hstack((z, np.ones((len(z), 1))))
     share = np.bincount(labels, minlength=len(languages)) / len(labels)
     balance = 1 / np.maximum(share[labels], 1e-9)
@@ -97,9 +106,10 @@ def fit_ridge(languages: list[str], labels: np.ndarray, present: np.ndarray, lan
 
 
 def sample_by_class(docs: DataFrame, label: str, per_class: int, most: int, seed: str) -> DataFrame:
-    """About per_class rows of each class (at most `most` on the whole), those with the smallest hashes of doc_id."""
+    """About per_class rows of each class (at most `most` on the whole, but one of each class), those with the smallest hashes
+    of doc_id. To the driver comes a row for each class."""
     counts = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = min(per_class, most // max(1, len(counts)))
+    each = max(1, min(per_class, most // max(1, len(counts))))
     share = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], f"{label} {dict(docs.dtypes)[label]}, _share double") if counts else None
     if share is None:
         return docs.limit(0)
@@ -107,8 +117,9 @@ def sample_by_class(docs: DataFrame, label: str, per_class: int, most: int, seed
 
 
 def fit(labelled: DataFrame, per_language: int = 300, most: int = 4000, landmarks: int = 384, ridge: float = 0.3, seed: str = "langid") -> LanguageModel | None:
-    """Fit on at most about `most` labelled rows (doc_id, text, lang). What comes to the driver is each sampled text's
-    set of runs, a packed bitmap of 33 kB at most. None if there is no row with a language and a letter."""
+    """Fit on at most about `most` labelled rows (doc_id, text, lang), one of each language at least. What comes to the
+    driver is each sampled text's set of runs, a deflated bitmap of 33 kB at most. None if there is no row with a language
+    and a letter. Null texts and languages take no part; repeated rows count each; other columns are not read."""
 
     def bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,15 +139,15 @@ def fit(labelled: DataFrame, per_language: int = 300, most: int = 4000, landmark
         return None
     languages = sorted({r["lang"] for r in rows})
     labels = np.array([languages.index(r["lang"]) for r in rows])
-    present = np.stack([np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8))[:SPACE] for r in rows])
-    return fit_ridge(languages, labels, present, landmarks, ridge)
+    codes = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8))[:SPACE]).astype(np.int32) for r in rows]
+    return fit_ridge(languages, labels, codes, landmarks, ridge)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score of each whole text; no shuffle.
 
     score: softmax of four times the ridge outputs, from 0 to 1. Null, empty or letterless text, or no model: `und`,
-    score 0. Null doc_id: kept. Repeated rows: a row each. Ties: the language first in alphabetical order. Empty table:
+    score 0. Very long text: whole. Null doc_id: kept. Repeated rows: a row each. Ties: the language first in alphabetical order. Empty table:
     no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
