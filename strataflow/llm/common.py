@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.operators.names import fresh as fresh
+
 #: The ASCII white space that separates words, [\x20\x09-\x0D].
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
@@ -40,18 +42,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores before those that df has, so that a helper column never replaces a user's."""
-    have = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        while n.lower() in have:
-            n = "_" + n
-        out.append(n)
-        have.add(n.lower())
-    return out
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df in the shared folder."""
     shared_dir(df.sparkSession)

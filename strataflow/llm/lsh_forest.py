@@ -28,7 +28,7 @@ class Forest:
     depth: int = 8
     recall: float = 0.9995
     block: int = 2048
-    budget: int = 1_000_000
+    budget: int = 250_000
     seed: int = 11
 
     def depth_for(self, similarity: float) -> int:
