@@ -629,9 +629,22 @@ def score(docs: DataFrame, levels: Levels) -> DataFrame:
             _OPEN.clear()
             _OPEN[levels.folder] = Words(levels), Pairs(levels), Triples(levels)
         parts, hasher = _OPEN[levels.folder], WordHasher()
-        for b in batches:
-            found = [score_texts(run, levels, *parts, hasher) for _, run in chunked([text_bytes(t) for t in b.column(1).to_pylist()], CHUNK)]
-            cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        ids: list[pa.Array] = []
+        held: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            found = [score_texts(run, levels, *parts, hasher) for _, run in chunked(held, CHUNK)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *map(pa.array, map(np.concatenate, zip(*found, strict=True)))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        size = 0
+        for b in batches:  # several batches at once, as what they share is looked up once
+            ids.append(b.column(0))
+            held += (texts := [text_bytes(t) for t in b.column(1).to_pylist()])
+            size += sum(map(len, texts))
+            if size >= CHUNK:
+                yield flush()
+                ids, held, size = [], [], 0
+        if held:
+            yield flush()
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
