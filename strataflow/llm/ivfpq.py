@@ -69,7 +69,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def fit(rows: DataFrame, total: int, lists: int | None = None, parts: int = 16, codes: int = 256, k: int = 20, recall: float = 0.97, most: int = 20_000, seed: str = "ivf") -> Quantizer | None:
+def fit(rows: DataFrame, total: int, lists: int | None = None, parts: int = 16, codes: int = 256, k: int = 20, recall: float = 0.95, most: int = 20_000, seed: str = "ivf") -> Quantizer | None:
     """Fit on about `most` rows at most, those with the smallest hashes of vec_id. Dimensions: those of most sampled rows.
 
     lists: a quarter of the root of the number of rows, 16 to 4096, unless given. The number of probed lists is the
@@ -123,10 +123,12 @@ def search_block(index: pa.Table, asked: pa.Table, model: Quantizer, k: int, ref
             for p in range(1, codes.shape[1]):
                 near += tables[:, p, codes[:, p]]
             near[own[:, None] == ids[None, :]] = -np.inf
+            few = min(k, len(ids))
+            floor = np.partition(near, len(ids) - few, axis=1)[:, len(ids) - few] - unsure * np.sqrt((part**2).sum(axis=1))
             for i in range(len(own)):
-                among = np.argsort(-near[i], kind="stable")  # ties: smaller vec_id
-                least = near[i, among[min(k, len(among)) - 1]] - unsure * np.sqrt((part[i] ** 2).sum())
-                among = among[: max(refine, int(np.searchsorted(-near[i, among], -least, side="right")))]
+                among = np.flatnonzero(near[i] >= floor[i])
+                if len(among) < min(refine, len(ids)):
+                    among = np.argpartition(near[i], len(ids) - min(refine, len(ids)))[-min(refine, len(ids)) :]
                 among = among[np.isfinite(near[i, among])]
                 exact = (full[among] * part[i]).sum(axis=1)
                 top = np.lexsort((ids[among], -exact))[:k]
@@ -144,7 +146,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, refine: int = 200,
     third of all rows is many tasks; each block returns k rows a query at most, already exact, and those are merged.
 
     Null, zero or non-finite vectors, vectors with null components or of other dimensions than most, null vec_id: take
-    no part. Repeated rows: candidates each, except the query's own vec_id. Fewer candidates than k: all that are found.
+    no part. Repeated rows: candidates each, except the query's own vec_id; a repeated vec_id asks once, with the vector that
+    is first in order. Fewer candidates than k: all that are found.
     Empty table: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -176,7 +179,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, refine: int = 200,
             yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), pa.array(np.repeat(b.column(0).to_numpy(), best.shape[1])), pa.array([v for v in (v.tobytes() for v in x) for _ in range(best.shape[1])], pa.binary())], names=["cell", "query_id", "vector"])
 
     index = written(rows.mapInArrow(encode, "cell int, vec_id bigint, code binary, vector binary"), "ivf-index")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(probe, "cell int, query_id bigint, vector binary")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(probe, "cell int, query_id bigint, vector binary")
     asked = written(asked, "ivf-queries")
     # a row for each list: 4096 at most
     held = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
