@@ -38,8 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; `forget` removes what was written there."""
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def forget(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Remove what operators have written to the shared folder in this process, but the paths `keep`. Frames that still read
+    it can't be evaluated afterwards; write their rows first. Checkpoints are Spark's own to clean."""
+    kept = set(keep)
+    for path in [p for p in _PATHS if p not in kept]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _PATHS.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

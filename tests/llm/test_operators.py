@@ -593,6 +593,17 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
         shared_dir(Session)
 
 
+def test_forget_removes_what_was_written(spark, docs):
+    from strataflow.llm import common
+
+    one, two = common.written(docs, "one"), common.written(docs.limit(3), "two")
+    kept = common._PATHS[-1]
+    common.forget(spark, [kept])
+    assert common._PATHS == [kept] and two.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        one.count()
+
+
 def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
     """Null, empty, long, repeated rows and an extra column go through all stages; so does an empty table."""
     import corpus_pipeline
