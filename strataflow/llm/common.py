@@ -47,6 +47,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return _PATHS[-1]
 
 
+def already_written() -> list[str]:
+    return [*_PATHS]
+
+
 def forget(spark: SparkSession, keep: Iterable[str] = ()) -> None:
     """Remove what operators have written to the shared folder in this process, but the paths `keep`. Frames that still read
     it can't be evaluated afterwards; write their rows first. Checkpoints are Spark's own to clean."""
