@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 
 @F.udf(T.StringType())
-def title_initials(name: str | None) -> str | None:
+def title_initials(name):
     """First letters of a name's words, by Python's own rules for case."""
     return None if name is None else "".join(w[0].casefold() for w in name.split() if w)
 
