@@ -26,6 +26,9 @@ def with_least(links: DataFrame, least: DataFrame, ends: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: for each node of edges (a, b: bigint) the smallest node of its component.
 
+    Null ends take no part; repeated edges and edges from a node to itself change nothing, but a node of such an edge alone
+    is in no component; no edges: no rows; other columns are not read.
+
     Alternates the large-star and small-star steps (Kiveris and others, 2014) until nothing changes; each round is
     checkpointed, so a lost executor costs one round. Rounds grow with the logarithm of the longest path.
     """
