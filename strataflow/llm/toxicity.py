@@ -96,19 +96,19 @@ def fit_machine(positive: list[str], negative: list[str], landmarks: int, cost:
     entries = [(i, c, w) for ids, codes, w in coded(marks) for i, c in zip(ids.tolist(), codes, strict=True)]
     used = np.unique(np.concatenate([c for _, c, _ in entries]))
     table[used] = np.arange(1, len(used) + 1)
-    phi = np.zeros((len(used) + 1, len(marks)))
+    phi = np.zeros((len(used) + 1, len(marks)), np.float32)
     for i, c, w in entries:
         np.add.at(phi[:, i], table[c], w)
     phi[0] = 0
-    values, vectors = np.linalg.eigh(phi.T @ phi)
+    values, vectors = np.linalg.eigh((phi.T @ phi).astype(float))
     good = values > 1e-8 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    basis = (phi @ root).astype(np.float32)
+    root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+    basis = phi @ root
     words = positive + negative
     z = np.zeros((len(words), basis.shape[1] + 1), np.float32)
     for ids, codes, w in coded(words):
-        for s in range(0, len(ids), 256):
-            z[ids[s : s + 256], :-1] = np.einsum("ntd,t->nd", basis[table[codes[s : s + 256]]], w.astype(np.float32))
+        for s in range(0, len(ids), 32):
+            z[ids[s : s + 32], :-1] = np.einsum("ntd,t->nd", basis[table[codes[s : s + 32]]], w.astype(np.float32))
     z[:, -1] = 1
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative))) * len(y) * cost
@@ -116,9 +116,14 @@ def fit_machine(positive: list[str], negative: list[str], landmarks: int, cost:
     keep = np.eye(len(theta))
     keep[-1, -1] = 1e-6
     for _ in range(25):
-        active = y * (z @ theta) < 1
-        za, wa = z[active].astype(float), weight[active]
-        step = np.linalg.solve(keep + (za * wa[:, None]).T @ za, (za * wa[:, None]).T @ y[active])
+        left, right = keep.copy(), np.zeros(len(theta))
+        for s in range(0, len(z), 1024):  # by blocks, as doubles of all rows would be most of the driver's memory
+            part, own = z[s : s + 1024].astype(float), y[s : s + 1024]
+            active = own * (part @ theta) < 1
+            weighted = part[active] * weight[s : s + 1024][active, None]
+            left += weighted.T @ part[active]
+            right += weighted.T @ own[active]
+        step = np.linalg.solve(left, right)
         if np.abs(step - theta).max() < 1e-6:
             break
         theta = step
