@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strataflow.sources import tables
+
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream; ts as a timestamp, as watermarks need one."""
@@ -97,15 +99,21 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def drained(spark: SparkSession, plan: Callable[[DataFrame], DataFrame], sf_dir: str, mode: str, rocksdb: bool = False) -> DataFrame:
-    """The rows of a plan over all that is there. In update mode a key's last row counts. rocksdb: keep state in that store,
-    as transformWithState asks for; the session's setting comes back afterwards."""
+    """The rows of a plan over all that is there. In append mode they are as many as the events and never pass the driver:
+    tasks write them as Parquet to the shared folder, where they stay. In complete and update mode they are those of groups,
+    in the driver's memory; in update mode a key's last row counts. The state's checkpoint is in the shared folder and goes
+    when the stream has ended. rocksdb: keep state in that store, as transformWithState asks for; the session's setting comes
+    back afterwards."""
     name, setting = f"drained_{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    folder, frame = tables.shared_folder(spark), plan(stream(spark, sf_dir))
     before = spark.conf.get(setting)
     if rocksdb:
         spark.conf.set(setting, ROCKSDB)
     try:
-        query = plan(stream(spark, sf_dir)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        writer = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        query = writer.format("parquet").start(f"{folder}/rows") if mode == "append" else writer.format("memory").queryName(name).start()
         query.awaitTermination()
     finally:
         spark.conf.set(setting, before)
-    return spark.table(name)
+        tables.remove(spark, f"{folder}/checkpoint")
+    return tables.read(spark, f"{folder}/rows", frame.schema) if mode == "append" else spark.table(name)
