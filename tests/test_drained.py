@@ -9,7 +9,7 @@ from strataflow.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["stream_deduplicated", "stream_sessions"])
+@pytest.mark.parametrize("name", ["stream_deduplicated", "stream_sessions", "stream_static_join"])
 def test_rows_lie_in_the_shared_folder(spark, name):
     shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
     found = catalogue.QUERIES[name](spark, SF)
