@@ -146,6 +146,9 @@ def chunked(texts: Iterable[bytes], limit: int = 1 << 21) -> Iterator[tuple[int,
         yield first, run
 
 
+#: Bytes of a word that are hashed in step with those of other words; 255 at most.
+STEPS = 32
+
 _ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 
 
@@ -179,22 +182,37 @@ class WordHasher:
         joined = b"\n".join(texts)
         data = np.frombuffer(joined, np.uint8)
         text_starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-        space = self._space[data]
+        space = self._space.take(data)
         if marks and len(data) > 2:
             ends = np.flatnonzero(space | np.append(space[1:], True) & np.isin(data, list(marks)))
             ends = ends[(ends > 0) & ~space[ends]]
             space[ends[_ALNUM[data[ends - 1]]]] = True
-        inside = np.flatnonzero(~space)
-        if not len(inside):
+        begins, ends = ~space, ~space
+        begins[1:] &= space[:-1]
+        ends[:-1] &= space[1:]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
             none = np.empty(0, np.int64)
             return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64), Spans(joined, data, text_starts, none, none)
-        first = np.flatnonzero(np.concatenate(([True], np.diff(inside) != 1)))
-        lengths = np.diff(np.concatenate((first, [len(inside)])))
+        lengths = np.flatnonzero(ends) + 1 - starts
         if (longest := int(lengths.max())) > len(self._powers):
             self._powers = self._make(1 << (longest - 1).bit_length())
-        at = np.arange(len(inside)) - np.repeat(first, lengths)
-        h = np.add.reduceat(self._table[data[inside]] * self._powers[at], first)
-        starts = inside[first]
+        # byte by byte of all words at once, of which ever fewer are long enough; what long words have beyond STEPS bytes apart
+        steps = np.minimum(lengths, STEPS).astype(np.uint8)
+        order = np.argsort(steps, kind="stable")
+        under = np.searchsorted(steps[order], np.arange(STEPS, dtype=np.uint8), side="right").tolist()
+        place, sums_of = starts[order], np.zeros(len(order), np.uint64)
+        for j in range(min(longest, STEPS)):
+            k = under[j]
+            sums_of[k:] += self._table.take(data.take(place[k:])) * self._powers[j]
+            place[k:] += 1
+        h = np.empty(len(order), np.uint64)
+        h[order] = sums_of
+        if len(far := np.flatnonzero(lengths > STEPS)):
+            more = lengths[far] - STEPS
+            first = np.cumsum(more) - more
+            at = np.arange(int(more.sum())) - np.repeat(first, more) + STEPS
+            h[far] += np.add.reduceat(self._table[data[np.repeat(starts[far], more) + at]] * self._powers[at], first)
         return mix64(h ^ lengths.astype(np.uint64)), np.searchsorted(starts, text_starts).astype(np.int64), Spans(joined, data, text_starts, starts, lengths)
 
 

@@ -6,12 +6,10 @@ import json
 import mmap
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -62,8 +60,8 @@ class EliasFano:
             return np.zeros(len(at), np.uint64)
         bit = at.astype(np.uint64) * np.uint64(self.low_bits)
         word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        out = self.low[word] >> shift
-        out |= (self.low[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        out = self.low.take(word) >> shift
+        out |= (self.low.take(word + 1) << (np.uint64(63) - shift)) << np.uint64(1)
         return out & np.uint64((1 << self.low_bits) - 1)
 
     def _select(self, words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -76,61 +74,80 @@ class EliasFano:
             step = go * np.uint8(width)
             at += step
             x >>= step.astype(np.uint64)
-        return at.astype(np.int64) + _IN_BYTE[((x & np.uint64(255)) << np.uint64(3)).astype(np.int64) + (k - np.uint8(1))]
+        return at.astype(np.int64) + _IN_BYTE.take(((x & np.uint64(255)) << np.uint64(3)).astype(np.int64) + (k - np.uint8(1)))
 
-    def first(self, high: np.ndarray) -> np.ndarray:
-        """Index of the first value whose high part is at least `high`."""
+    def _next(self, bits: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the next one of the words `bits` after `place`, and whether the word has one."""
+        rest = bits >> (place & 63).astype(np.uint64) >> np.uint64(1)
+        return place + 1 + np.bitwise_count(~rest & (rest - np.uint64(1))), rest != 0
+
+    def _zero(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the k-th (from 1) zero, and its word."""
+        word = np.searchsorted(self.zeros, (k - 1).astype(self.zeros.dtype), side="right") - 1
+        bits = ~self.high.take(word)
+        return word * 64 + self._select(bits, k - self.zeros.take(word)), bits
+
+    def bounds(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value whose high part is at least `high`, and of the first whose is more."""
         if self.zeros is None:
-            self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
-        known = np.minimum(high, self.zeros[-1] + 64 - int(np.bitwise_count(self.high[-1])))
-        word = np.searchsorted(self.zeros, known - 1, side="right") - 1
-        word = np.maximum(word, 0)
-        place = word * 64 + self._select(~self.high[word], np.maximum(known - self.zeros[word], 1))
-        return np.where(known > 0, np.minimum(place - (known - 1), self.n), 0)
+            zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
+            self.zeros = zeros.astype(np.uint32) if zeros[-1] < 2**32 - 64 else zeros
+        most = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.high[-1]))
+        known, after = np.minimum(high, most), np.minimum(high + 1, most)
+        place, bits = self._zero(np.maximum(known, 1))
+        lo = np.where(known > 0, np.minimum(place - (known - 1), self.n), 0)
+        following, there = self._next(bits, place)  # mostly in the same word
+        if len(far := np.flatnonzero(~there | (known == 0) | (known == after))):
+            following[far] = self._zero(after[far])[0]
+        return lo, np.minimum(following - (after - 1), self.n)
+
+    def _one(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the one of the value at each index, and its word."""
+        word = np.searchsorted(self.ones, at.astype(self.ones.dtype), side="right") - 1  # of one type, lest all of ones be copied
+        bits = self.high.take(word)
+        return word * 64 + self._select(bits, at + 1 - self.ones.take(word).astype(np.int64)), bits
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at the indices."""
-        word = np.searchsorted(self.ones, at, side="right") - 1
-        place = word * 64 + self._select(self.high[word], at + 1 - self.ones[word].astype(np.int64))
-        return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(at)
+        return ((self._one(at)[0] - at).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(at)
+
+    def both(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the indices and at the next ones."""
+        place, bits = self._one(at)
+        following, there = self._next(bits, place)
+        if len(far := np.flatnonzero(~there)):
+            following[far] = self._one(at[far] + 1)[0]
+        low_bits = np.uint64(self.low_bits)
+        return ((place - at).astype(np.uint64) << low_bits) | self.lows(at), ((following - at - 1).astype(np.uint64) << low_bits) | self.lows(at + 1)
 
     def find(self, values: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Index of each value, between start and end if given, or -1."""
+        """Index of each value (of the last, if it comes again), between start and end if given, or -1."""
         if not self.n or not len(values):
             return np.full(len(values), -1, np.int64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        both = self.first(np.concatenate((high, high + 1)))
-        lo, hi = both[: len(values)], both[len(values) :]
+        lo, hi = self.bounds(high)
         if start is not None:
             lo, hi = np.maximum(lo, start), np.minimum(hi, end)
-        want = values & np.uint64((1 << self.low_bits) - 1)
-        stop, live = hi.copy(), np.flatnonzero(lo < hi)
-        while len(live):  # the successor of each by halving its range
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.lows(mid) < want[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
+        some = np.flatnonzero(lo < hi)
+        lo, hi, want = lo.take(some), hi.take(some), values.take(some) & np.uint64((1 << self.low_bits) - 1)
+        live = np.flatnonzero(hi - lo > 1)
+        left, right, aim = lo.take(live), hi.take(live), want.take(live)
+        while len(live):  # the last that is not larger, by halving the ranges that have several
+            mid = (left + right) >> 1
+            less = self.lows(mid) <= aim
+            left, right = np.where(less, mid, left), np.where(less, right, mid)
+            lo[live] = left
+            more = np.flatnonzero(right - left > 1)
+            live, left, right, aim = (x.take(more) for x in (live, left, right, aim))
+        hit = np.flatnonzero(self.lows(lo) == want)
         out = np.full(len(values), -1, np.int64)
-        inside = np.flatnonzero(lo < stop)
-        hit = inside[self.lows(lo[inside]) == want[inside]]
-        out[hit] = lo[hit]
+        out[some[hit]] = lo[hit]
         return out
 
-
     def within(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Index of each value, which is between start and end if at all, or -1: halves the ranges, most of which are short."""
-        lo, hi, out = start.copy(), end.copy(), np.full(len(values), -1, np.int64)
-        live = np.flatnonzero(lo < hi)
-        while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            got = self.access(mid)
-            same = got == values[live]
-            out[live[same]] = mid[same]
-            less = got < values[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], np.where(same, lo[live], mid))
-            live = live[lo[live] < hi[live]]
+        """Index of each value, which is between start and end if at all, or -1. Only ranges that aren't empty are looked at."""
+        out, some = np.full(len(values), -1, np.int64), np.flatnonzero(start < end)
+        out[some] = self.find(values.take(some), start.take(some), end.take(some))
         return out
 
 
@@ -168,11 +185,20 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different values, and the place of each value among them."""
-    codes, unique = pd.factorize(values)
-    order = np.argsort(unique)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return unique[order], back[codes] if len(codes) else codes.astype(np.int64)
+    order = np.argsort(values)
+    ranked = values.take(order)
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked.take(np.flatnonzero(new)), back
+
+
+def by_shard(shard: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices shard by shard, in order within each, and where each shard's begin (and the end). 16 bits are sorted by radix."""
+    shard = shard.astype(np.uint16) if n <= 65536 else shard
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard.take(order), np.arange(n, dtype=shard.dtype)).tolist() + [len(order)]
 
 
 def coded(p: np.ndarray) -> np.ndarray:
@@ -256,27 +282,30 @@ class Pairs:
         return self._open[k]
 
     def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of pairs of words' ids: the shard, the place in it (-1: unknown pair), the two codes."""
+        """Of pairs of words' ids, sorted: the shard, the place in it (-1: unknown pair), the two codes."""
         shard, place = pair_shard(one, two, self.n), np.full(len(one), -1, np.int64)
         codes, backoffs = np.zeros(len(one), np.uint16), np.zeros(len(one), np.uint16)
-        order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(self.n + 1))
+        order, at = by_shard(shard, self.n)
         for k in range(self.n):
             own = order[at[k] : at[k + 1]]
             if not len(own) or not self.levels.second[k]:
                 continue
             contexts, pointers, successors, probable, back = self._shard(k)
-            unique, where = distinct(one[own])
+            context = one.take(own)
+            new = np.ones(len(own), bool)
+            new[1:] = context[1:] != context[:-1]
+            unique, where = context.take(np.flatnonzero(new)), np.cumsum(new) - 1
             rank = contexts.find(unique.astype(np.uint64))
             start, end = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
             known = np.flatnonzero(rank >= 0)
-            bounds = pointers.access(np.concatenate((rank[known], rank[known] + 1))).astype(np.int64)
-            start[known], end[known] = bounds[: len(known)], bounds[len(known) :]
-            own, where = own[rank[where] >= 0], where[rank[where] >= 0]
-            value = rank[where].astype(np.uint64) * np.uint64(self.levels.words) + two[own].astype(np.uint64)
-            got = successors.find(value, start[where], end[where])
+            start[known], end[known] = pointers.both(rank[known])
+            some = np.flatnonzero((rank >= 0).take(where))
+            own, where = own.take(some), where.take(some)
+            value = rank.take(where).astype(np.uint64) * np.uint64(self.levels.words) + two.take(own).astype(np.uint64)
+            got = successors.find(value, start.take(where), end.take(where))
             hit = np.flatnonzero(got >= 0)
-            place[own[hit]], codes[own[hit]], backoffs[own[hit]] = got[hit], probable[got[hit]], back[got[hit]]
+            own, got = own.take(hit), got.take(hit)
+            place[own], codes[own], backoffs[own] = got, probable.take(got), back.take(got)
         return shard, place, codes, backoffs
 
 
@@ -297,17 +326,17 @@ class Triples:
     def log10(self, shard: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The quantised log10 probability of a word after a pair (its shard and place); NaN if the three are unknown."""
         out = np.full(len(place), np.nan)
-        order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(len(self.levels.third) + 1))
+        order, at = by_shard(shard, len(self.levels.third))
         for k in range(len(self.levels.third)):
             own = order[at[k] : at[k + 1]]
             if not len(own) or not self.levels.third[k]:
                 continue
             pointers, successors, codes = self._shard(k)
-            bounds = pointers.access(np.concatenate((place[own], place[own] + 1))).astype(np.int64)
-            got = successors.within(place[own].astype(np.uint64) * np.uint64(self.levels.words) + word[own].astype(np.uint64), bounds[: len(own)], bounds[len(own) :])
+            of = place.take(own)
+            start, end = pointers.both(of)
+            got = successors.within(of.astype(np.uint64) * np.uint64(self.levels.words) + word.take(own).astype(np.uint64), start.astype(np.int64), end.astype(np.int64))
             hit = np.flatnonzero(got >= 0)
-            out[own[hit]] = codes[got[hit]] * -STEP
+            out[own.take(hit)] = codes.take(got.take(hit)) * -STEP
         return out
 
 
@@ -322,14 +351,19 @@ def tokens_of(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.nd
 
 
 def packed(keys: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Sorted keys as differences by byte planes, counts and codes, deflated."""
-    planes = lambda a: zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    """Sorted keys as differences by byte planes, counts and codes, compressed; each begins with its length before that."""
+
+    def planes(a: np.ndarray) -> bytes:
+        plain = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+        return len(plain).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(plain, asbytes=True)
+
     return planes(np.diff(keys, prepend=np.uint64(0))), planes(counts.astype(np.int64)), planes(codes)
 
 
 def unpacked(keys: bytes, counts: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def planes(b: bytes, kind: type) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+        plain = pa.Codec("zstd").decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little"))
+        return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
     return np.cumsum(planes(keys, np.uint64), dtype=np.uint64), planes(counts, np.int64), planes(codes, np.uint16)
 
@@ -350,12 +384,18 @@ def counted(chunks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], width:
         shard, keys, codes = (np.concatenate([h[i] for h in held]) for i in range(3))
         group = shard // width
         order = np.argsort(group.astype(np.uint16) if group.max() < 65536 else group, kind="stable")
-        keys, codes = keys[order], codes[order]
-        at = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)])).tolist()
+        keys, codes, group = keys.take(order), codes.take(order), group.take(order)
+        at = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(order)])).tolist()
         rows = []
         for a, z in zip(at[:-1], at[1:], strict=True):
-            unique, first, counts = np.unique(keys[a:z], return_index=True, return_counts=True)
-            rows.append((int(group[order[a]]), *packed(unique, counts, codes[a:z][first])))
+            own, code = keys[a:z], codes[a:z]
+            if code.any():
+                order = np.argsort(own)
+                own, code = own.take(order), code.take(order)
+            else:  # a level without codes
+                own = np.sort(own)
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            rows.append((int(group[a]), *packed(own[first], np.diff(first, append=len(own)), code[first])))
         return rows_of(rows)
 
     for c in chunks:
@@ -370,18 +410,14 @@ def counted(chunks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], width:
 
 
 def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Sorted runs of (keys, counts, codes) as one; neighbours in turn, so that little more than the result is held."""
-    while len(parts) > 1:
-        parts = [add_up(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
-
-
-def add_up(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    keys, counts, codes = (np.concatenate(x) for x in zip(a, b, strict=True))
-    order = np.argsort(keys, kind="stable")  # two sorted runs: merged, not sorted anew
-    keys = keys[order]
+    """Sorted runs of (keys, counts, codes) as one."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys.take(order)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[starts], np.add.reduceat(counts[order], starts), codes[order][starts]
+    return keys[starts], np.add.reduceat(counts.take(order), starts), codes.take(order.take(starts))
 
 
 def widths_of(shards: int) -> list[int]:
@@ -447,7 +483,7 @@ def narrow(counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, prior: float = 20.0) -> Levels:
     """Count and build the trie of docs (text). Every text counts whole; nothing is pruned.
 
-    Three passes: words, pairs of words' ranks, words after pairs. In each, a task adds up what it reads and sends deflated
+    Three passes: words, pairs of words' ranks, words after pairs. In each, a task adds up what it reads and sends compressed
     runs of sorted keys towards the shards (see `dealt`); a shard's task merges them and writes a file of its level to the
     shared folder. The number of shards follows the bytes of text, so a shard's task doesn't grow with the input. A word
     that makes a third of all tokens is one key in the first level and spread over all shards in the second; in the third
@@ -504,11 +540,11 @@ def train(docs: DataFrame, prior: float = 20.0) -> Levels:
         def chunks():
             for hashes, at in runs(batches):
                 unique, back = distinct(hashes)
-                ids = words.find(unique)[0].astype(np.uint64)[back]
+                ids = words.find(unique)[0].astype(np.uint64).take(back)
                 keys = (ids[:-1] << np.uint64(32)) | ids[1:]
                 inside = np.ones(len(keys), bool)
                 inside[at[1:-1] - 1] = False  # from one text's end to the next text
-                keys = keys[inside]
+                keys = keys.take(np.flatnonzero(inside))
                 yield pair_shard(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), shards), keys, none(keys)
 
         yield from counted(chunks(), width)
@@ -549,15 +585,15 @@ def train(docs: DataFrame, prior: float = 20.0) -> Levels:
         def chunks():
             for hashes, at in runs(batches):
                 unique, back = distinct(hashes)
-                ids = words.find(unique)[0].astype(np.uint64)[back]
+                ids = words.find(unique)[0].astype(np.uint64).take(back)
                 joined, where = distinct((ids[:-1] << np.uint64(32)) | ids[1:])
                 shard, place, codes, _ = pairs.find((joined >> np.uint64(32)).astype(np.int64), (joined & np.uint64(0xFFFFFFFF)).astype(np.int64))
                 inside = np.ones(len(where), bool)
                 inside[at[1:-1] - 1] = False
-                both = inside[:-1] & inside[1:]  # three tokens of one text
-                context, last = where[:-1][both], where[1:][both]
-                inner = (place + starts[shard] - starts[shard // width * width])[context].astype(np.uint64)
-                yield shard[context], inner * np.uint64(levels.words) + ids[2:][both], codes[last]
+                both = np.flatnonzero(inside[:-1] & inside[1:])  # three tokens of one text
+                context, last = where.take(both), where.take(both + 1)
+                inner = (place + starts[shard] - starts[shard // width * width]).astype(np.uint64).take(context)
+                yield shard.take(context), inner * np.uint64(levels.words) + ids.take(both + 2), codes.take(last)
 
         yield from counted(chunks(), width)
 
@@ -583,34 +619,37 @@ def score_texts(texts: list[bytes], levels: Levels, words: Words, pairs: Pairs,
     ids, counts = words.find(unique)
     base = np.log10((counts + 1) / (levels.tokens + levels.words + 1))
     weight = np.log10(levels.prior / (counts + levels.prior))  # of the shorter context, for what doesn't follow
-    tokens, low = ids[back], base[back]
+    tokens, low = ids.take(back), base.take(back)
     score = low.copy()
     follows = np.ones(len(tokens), bool)
     follows[at[:-1]] = False
     follows[1:] &= tokens[:-1] >= 0
-    score[follows] += weight[back[np.flatnonzero(follows) - 1]]
-    known = np.flatnonzero(follows & (tokens >= 0))
+    follows = np.flatnonzero(follows)
+    score[follows] += weight.take(back.take(follows - 1))
+    known = follows.take(np.flatnonzero(tokens.take(follows) >= 0))
     if len(known) and levels.second:
-        keys, again = distinct((tokens[known - 1].astype(np.uint64) << np.uint64(32)) | tokens[known].astype(np.uint64))
+        keys, again = distinct((tokens.take(known - 1).astype(np.uint64) << np.uint64(32)) | tokens.take(known).astype(np.uint64))
         shard, place, codes, backoffs = pairs.find((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
         pair = np.full(len(tokens) + 1, -1, np.int64)  # of each token: its pair with the one before, if that is known
-        seen = place[again] >= 0
-        pair[known[seen]] = again[seen]
-        score[known[seen]] = codes[again[seen]] * -STEP
+        seen = np.flatnonzero((place >= 0).take(again))
+        known, again = known.take(seen), again.take(seen)
+        pair[known] = again
+        score[known] = (codes * -STEP).take(again)
         # what follows a known pair: that pair's weight for the score so far, or the three's own probability
         first = np.zeros(len(tokens) + 1, bool)
         first[at[:-1]] = True
         after = np.flatnonzero((pair[:-1] >= 0) & ~first[1:]) + 1
         after = after[after < len(tokens)]
         if len(after) and levels.third:
-            context = pair[after - 1]
-            score[after] += backoffs[context] * -STEP
-            some = np.flatnonzero(tokens[after] >= 0)
-            three, which = distinct((context[some].astype(np.uint64) << np.uint64(32)) | back[after[some]].astype(np.uint64))
-            of, word = (three >> np.uint64(32)).astype(np.int64), ids[(three & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            found = triples.log10(shard[of], place[of], word)[which]
-            hit = ~np.isnan(found)
-            score[after[some[hit]]] = found[hit]
+            context = pair.take(after - 1)
+            score[after] += (backoffs * -STEP).take(context)
+            some = np.flatnonzero(tokens.take(after) >= 0)
+            context, after = context.take(some), after.take(some)
+            three, which = distinct((context.astype(np.uint64) << np.uint64(32)) | back.take(after).astype(np.uint64))
+            of, word = (three >> np.uint64(32)).astype(np.int64), ids.take((three & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            found = triples.log10(shard.take(of), place.take(of), word).take(which)
+            hit = np.flatnonzero(~np.isnan(found))
+            score[after.take(hit)] = found.take(hit)
     return np.diff(at), np.add.reduceat((tokens >= 0).astype(np.int64), at[:-1]), np.add.reduceat(low, at[:-1]), np.add.reduceat(score, at[:-1])
 
 
